@@ -4,7 +4,7 @@ with very many neighbours is split by the skew-join rule of adaptive execution."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -16,7 +16,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
     return (
         both.where(F.col("b") > F.col("a")).join(least, "a")
-        .select(F.col("b"), F.col("m").alias("a")).where(F.col("a") != F.col("b")).distinct()
+        .select(F.col("b"), F.col("m").alias("a")).where(F.col("a") != F.col("b"))
     )
 
 
@@ -29,22 +29,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(own).where(F.col("a") != F.col("b")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number and hash of the edges, to see when nothing changes any more."""
+def _settle(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Checkpoint, and number and hash of the edges to see when nothing changes any more.
+
+    Both come from the one job that writes the checkpoint."""
+    seen = Observation()
     mixed = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count("*"), mixed).first())
+    settled = cut_lineage(edges.observe(
+        seen, F.count(F.lit(1)).alias("edges"), mixed.alias("mixed")))
+    return settled, (seen.get["edges"], seen.get["mixed"])
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) of all nodes with an edge; a component is named by its least node."""
-    current = cut_lineage(
-        edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
-        .where(F.col("a") != F.col("b")).distinct()
-    )
-    state = _state(current)
-    while True:
-        current = cut_lineage(_small_star(_large_star(current)).select("a", "b"))
-        new_state = _state(current)
+    start = edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
+    current, state = _settle(start.where(F.col("a") != F.col("b")).distinct())
+    while state[0] > 0:
+        current, new_state = _settle(_small_star(_large_star(current)).select("a", "b"))
         if new_state == state:
             break
         state = new_state

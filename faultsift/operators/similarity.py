@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import connected_components
-from .tfidf import prefix_of
+from .tfidf import length_from, outline, prefix_of
 
 SPARSE_BLOCK_ROWS = 512
 DENSE_BLOCK_ROWS = 4096
+LONG_LIST = 2000                       # vectors in one term list
 BROADCAST_VALUES = 16_000_000          # numbers in a broadcast matrix (128 MB of doubles)
 DIGITS = 12                            # scores equal to this many digits are ties
 
@@ -46,42 +47,70 @@ def _verified(pairs: DataFrame, postings: DataFrame, least: float) -> DataFrame:
 def _leader_pairs(prefixes: DataFrame) -> DataFrame:
     """One pair per vector: with the first vector of the term lists it is in.
 
-    Of all leaders the one with the largest shared weight is taken. This only serves to find
-    big groups of near copies cheaply; what it misses is found by `_cross_pairs`.
+    Of all leaders the one of its weightiest lists is taken. This only serves to find big
+    groups of near copies cheaply; what it misses is found by `_cross_pairs`.
     """
-    leaders = prefixes.groupBy("term").agg(
-        F.min(F.struct("id", "weight")).alias("leader"))
-    shared = F.sum(F.col("weight") * F.col("leader.weight"))
+    leaders = prefixes.groupBy("term").agg(F.min("id").alias("a"))
+    weight = F.sum(F.col("weight") * F.col("weight"))
     return (
-        prefixes.join(leaders, "term").where(F.col("id") != F.col("leader.id"))
-        .groupBy(F.col("id").alias("b"), F.col("leader.id").alias("a")).agg(shared.alias("s"))
+        prefixes.join(leaders, "term").where(F.col("id") != F.col("a"))
+        .groupBy(F.col("id").alias("b"), "a").agg(weight.alias("s"))
         .groupBy("b").agg(F.max_by("a", F.struct("s", -F.col("a"))).alias("a"))
     )
 
 
-def _cross_pairs(prefixes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs of vectors that are not yet in one group.
+def _cross_pairs(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b, shared): vectors that are not yet in one group but share a prefix term.
 
-    Term lists are first reduced to (term, group); a list within one group, however long,
-    yields nothing.
+    `shared` is the product over the common prefix terms. Short term lists are joined with
+    themselves. Long lists are first reduced to (term, group), so a list within one group,
+    however long, yields nothing.
     """
-    placed = prefixes.join(groups, F.col("id") == F.col("node"), "left").select(
-        "id", "term", "weight", "rest", F.coalesce("component", "id").alias("grp"))
-    placed = cut_lineage(placed)
-    lists = placed.select("term", "grp").distinct()
-    other = lists.select("term", F.col("grp").alias("grp_b"))
-    group_pairs = lists.withColumnRenamed("grp", "grp_a").join(other, "term").where(
-        F.col("grp_a") < F.col("grp_b"))
-    left = placed.select("term", F.col("grp").alias("grp_a"), F.col("id").alias("a"),
-                         F.col("weight").alias("_wa"), F.col("rest").alias("_ra"))
-    right = placed.select("term", F.col("grp").alias("grp_b"), F.col("id").alias("b"),
-                          F.col("weight").alias("_wb"), F.col("rest").alias("_rb"))
-    shared = F.sum(F.col("_wa") * F.col("_wb"))
-    bound = shared + F.max(F.greatest("_ra", "_rb"))
+    placed = cut_lineage(
+        prefixes.join(groups, F.col("id") == F.col("node"), "left")
+        .select("id", "term", "weight", F.coalesce("component", "id").alias("grp")))
+    sizes = placed.groupBy("term").agg(
+        F.count("*").alias("n"), F.min("grp").alias("first"), F.max("grp").alias("last")
+    ).where(F.col("first") < F.col("last"))            # lists with more than one group
+
+    def sides(kind: Column) -> tuple[DataFrame, DataFrame]:
+        lists = placed.join(sizes.where(kind).select("term"), "term", "left_semi")
+        return tuple(
+            lists.select("term", F.col("grp").alias(f"grp_{s}"), F.col("id").alias(s),
+                         F.col("weight").alias(f"_w{s}")) for s in ("a", "b"))
+
+    left, right = sides(F.col("n") <= LONG_LIST)
+    short = left.join(right, "term").where(F.col("grp_a") < F.col("grp_b"))
+    left, right = sides(F.col("n") > LONG_LIST)
+    group_pairs = left.select("term", "grp_a").distinct().join(
+        right.select("term", "grp_b").distinct(), "term").where(F.col("grp_a") < F.col("grp_b"))
+    long = group_pairs.join(left, ["term", "grp_a"]).join(right, ["term", "grp_b"])
+    both = short.select("a", "b", "_wa", "_wb").union(long.select("a", "b", "_wa", "_wb"))
+    return both.groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("shared"))
+
+
+def _possible(pairs: DataFrame, outlines: DataFrame, least: float) -> DataFrame:
+    """Candidates that can still reach the bound.
+
+    Up to the end of the shorter prefix (in the global order of terms) `shared` is the exact
+    product. What follows is at most the length of that vector's rest times the length of the
+    other vector beyond the same place.
+    """
+    def side(name: str) -> DataFrame:
+        return outlines.select(F.col("id").alias(name), F.col("rest").alias(f"_rest_{name}"),
+                               F.col("end").alias(f"_end_{name}"),
+                               F.col("spread").alias(f"_spread_{name}"))
+
+    a_first = F.col("_rest_a") * length_from(F.col("_spread_b"), F.col("_end_a"))
+    b_first = F.col("_rest_b") * length_from(F.col("_spread_a"), F.col("_end_b"))
+    beyond = (
+        F.when(F.col("_end_a") < F.col("_end_b"), a_first)
+        .when(F.col("_end_b") < F.col("_end_a"), b_first)
+        .otherwise(F.greatest(a_first, b_first))
+    )
     return (
-        group_pairs.join(left, ["term", "grp_a"]).join(right, ["term", "grp_b"])
-        .groupBy("a", "b").agg(bound.alias("bound"))
-        .where(F.col("bound") >= least - 1e-9)
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .where(F.col("shared") + beyond >= least - 1e-9).select("a", "b")
     )
 
 
@@ -89,15 +118,15 @@ def similar_components(postings: DataFrame, least: float) -> DataFrame:
     """(node, component) of the graph that links vectors with cosine >= least.
 
     `postings` has id, term, df, weight of unit vectors. Exact: every pair outside the groups
-    found by leaders is either excluded by the prefix bound or compared.
+    found by leaders is either excluded by a bound or compared.
     """
     _check(least)
-    postings = cut_lineage(postings)
     prefixes = cut_lineage(prefix_of(postings, "id", least))
-    by_leader = _verified(_leader_pairs(prefixes), postings, least).select("a", "b")
-    by_leader = cut_lineage(by_leader)
+    outlines = cut_lineage(outline(postings, prefixes, "id"))
+    by_leader = _verified(_leader_pairs(prefixes), postings, least)
     groups = connected_components(by_leader, "a", "b")
-    across = _verified(_cross_pairs(prefixes, groups, least), postings, least)
+    candidates = _possible(_cross_pairs(prefixes, groups), outlines, least)
+    across = _verified(candidates, postings, least)
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return connected_components(across.select("a", "b").union(links), "a", "b")
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normalize_message
+from ..session import cut_lineage
 
 
 def term_counts(messages: DataFrame, key: str, text: str,
@@ -50,7 +51,8 @@ def tfidf(messages: DataFrame, key: str, text: str, stop_words: list[str] | None
 
     With a `copies` column, a row stands for that many equal documents.
     """
-    counts = term_counts(messages, key, text, stop_words)
+    # Both the counts and their totals per term are needed; texts are split only once.
+    counts = cut_lineage(term_counts(messages, key, text, stop_words))
     if "copies" in messages.columns:
         n = messages.agg(F.sum("copies")).scalar()
     else:
@@ -66,15 +68,37 @@ def prefix_of(postings: DataFrame, key: str, least: float) -> DataFrame:
 
     Terms are taken in one global order (rare first) until the rest of the vector is shorter
     than `least`. If two vectors shared no prefix term, all their common terms would lie in
-    the rest of one of them, and their product would stay below `least`. Column `rest` is the
-    length of what was left out.
+    the rest of one of them, and their product would stay below `least`.
     """
-    square = F.col("weight") * F.col("weight")
     rare_first = (Window.partitionBy(key).orderBy("df", "term")
                   .rowsBetween(Window.unboundedPreceding, -1))
-    kept = postings.withColumn(
-        "_before", F.coalesce(F.sum(square).over(rare_first), F.lit(0.0))
-    ).where(F.col("_before") <= 1.0 - least * least + 1e-9)
-    mass = F.sum(square).over(Window.partitionBy(key))
-    rest = F.sqrt(F.greatest(1.0 - mass, F.lit(0.0)))
-    return kept.select(key, "term", "weight", rest.alias("rest"))
+    before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare_first), F.lit(0.0))
+    return postings.withColumn("_before", before).where(
+        F.col("_before") <= 1.0 - least * least + 1e-9).drop("_before")
+
+
+def _level(df: Column) -> Column:
+    return F.floor(2.0 * F.log2(df)).cast("int")
+
+
+def outline(postings: DataFrame, prefixes: DataFrame, key: str) -> DataFrame:
+    """One row per vector: where its prefix ends and how its length is spread.
+
+    `rest` is the length of what follows the prefix, `end` the rarity level of the last prefix
+    term, `spread` the squared length per rarity level (a handful of numbers).
+    """
+    square = F.sum(F.col("weight") * F.col("weight"))
+    ends = prefixes.groupBy(key).agg(
+        F.sqrt(F.greatest(1.0 - square, F.lit(0.0))).alias("rest"),
+        _level(F.max("df")).alias("end"))
+    levels = postings.groupBy(key, _level(F.col("df")).alias("level")).agg(square.alias("mass"))
+    spread = levels.groupBy(key).agg(F.collect_list(F.struct("level", "mass")).alias("spread"))
+    return ends.join(spread, key)
+
+
+def length_from(spread: Column, level: Column) -> Column:
+    """Greatest possible length of a unit vector's part at or above a rarity level."""
+    below = F.aggregate(
+        F.filter(spread, lambda part: part["level"] < level), F.lit(0.0),
+        lambda total, part: total + part["mass"])
+    return F.sqrt(F.greatest(1.0 - below, F.lit(0.0)))

@@ -50,7 +50,8 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; survives the loss of executors."""
+    """Reliable checkpoint: later steps start from files in the shared folder, also when
+    executors are lost, and do not repeat what led here."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
