@@ -33,15 +33,36 @@ def _check(least: float) -> None:
 
 # --- sparse: which vectors can be similar ---------------------------------------------
 
-def _verified(pairs: DataFrame, postings: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose full cosine reaches the bound."""
-    left = postings.select(F.col("id").alias("a"), "term", F.col("weight").alias("_wa"))
-    right = postings.select(F.col("id").alias("b"), "term", F.col("weight").alias("_wb"))
-    return (
-        pairs.select("a", "b").join(left, "a").join(right, ["b", "term"])
-        .groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("score"))
-        .where(F.round("score", DIGITS) >= least).select("a", "b", "score")
-    )
+def as_vectors(postings: DataFrame) -> DataFrame:
+    """(id, terms, weights), terms ascending: one row per vector, as long as its vocabulary."""
+    pairs = F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("_v")
+    return postings.groupBy("id").agg(pairs).select(
+        "id", F.col("_v.term").alias("terms"), F.col("_v.weight").alias("weights"))
+
+
+def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) whose full cosine reaches the bound.
+
+    The pairs are written out first, so the joins are planned with their true number.
+    """
+    def products(batches):
+        for batch in batches:
+            scores = np.zeros(len(batch))
+            columns = (batch["_ta"], batch["_va"], batch["_tb"], batch["_vb"])
+            for row, (ta, va, tb, vb) in enumerate(zip(*columns)):
+                place = np.searchsorted(ta, tb)
+                place[place == len(ta)] = 0
+                hit = ta[place] == tb
+                scores[row] = va[place[hit]] @ vb[hit]
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "score": scores})
+
+    def side(name: str) -> DataFrame:
+        return vectors.select(F.col("id").alias(name), F.col("terms").alias(f"_t{name}"),
+                              F.col("weights").alias(f"_v{name}"))
+
+    both = cut_lineage(pairs.select("a", "b")).join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "_ta", "_va", "_tb", "_vb").mapInPandas(
+        products, "a BIGINT, b BIGINT, score DOUBLE").where(F.round("score", DIGITS) >= least)
 
 
 def _leader_pairs(prefixes: DataFrame) -> DataFrame:
@@ -117,28 +138,23 @@ def _possible(pairs: DataFrame, outlines: DataFrame, least: float) -> DataFrame:
 def similar_components(postings: DataFrame, least: float) -> DataFrame:
     """(node, component) of the graph that links vectors with cosine >= least.
 
-    `postings` has id, term, df, weight of unit vectors. Exact: every pair outside the groups
-    found by leaders is either excluded by a bound or compared.
+    `postings` has id, term, df, weight of unit vectors, terms numbered from the rarest on.
+    Exact: every pair outside the groups found by leaders is excluded by a bound or compared.
     """
     _check(least)
+    vectors = cut_lineage(as_vectors(postings))
     prefixes = cut_lineage(prefix_of(postings, "id", least))
     outlines = cut_lineage(outline(postings, prefixes, "id"))
-    by_leader = _verified(_leader_pairs(prefixes), postings, least)
+    by_leader = _verified(_leader_pairs(prefixes), vectors, least)
     groups = connected_components(by_leader, "a", "b")
-    candidates = _possible(_cross_pairs(prefixes, groups), outlines, least)
-    across = _verified(candidates, postings, least)
+    candidates = _possible(cut_lineage(_cross_pairs(prefixes, groups)), outlines, least)
+    across = _verified(candidates, vectors, least)
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return connected_components(across.select("a", "b").union(links), "a", "b")
 
 
 # --- sparse: best partner inside each part ---------------------------------------------
 
-def as_vectors(postings: DataFrame) -> DataFrame:
-    """(id, terms, weights): one row per vector; as long as its own vocabulary."""
-    return postings.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("_v")).select(
-        "id", F.col("_v.term").alias("terms"), F.col("_v.weight").alias("weights"))
-
-
 def block_copies(vectors: DataFrame, block_rows: int) -> DataFrame:
     """Copies of every row for the block pairs it takes part in, keyed by (bin, i, j).
 
@@ -180,14 +196,12 @@ def sparse_products(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
 
     out = np.zeros((len(left), len(right)))
     (rl, tl, wl), (rr, tr, wr) = flat(left), flat(right)
-    codes, _ = pd.factorize(np.concatenate([tl, tr]))
-    cl, cr = codes[: len(tl)], codes[len(tl):]
-    common = np.intersect1d(cl, cr)
+    common = np.intersect1d(tl, tr)
     step = 2048
     for start in range(0, len(common), step):
         part = common[start:start + step]
         dense = []
-        for rows, cols, weights, height in ((rl, cl, wl, len(left)), (rr, cr, wr, len(right))):
+        for rows, cols, weights, height in ((rl, tl, wl, len(left)), (rr, tr, wr, len(right))):
             place = np.searchsorted(part, cols)
             place[place == len(part)] = 0
             hit = part[place] == cols

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import normalize_message
 from ..session import cut_lineage
+from .positions import number_rows
 
 
 def term_counts(messages: DataFrame, key: str, text: str,
@@ -53,24 +54,39 @@ def tfidf(messages: DataFrame, key: str, text: str, stop_words: list[str] | None
     """
     # Both the counts and their totals per term are needed; texts are split only once.
     counts = cut_lineage(term_counts(messages, key, text, stop_words))
+    return _weighted(counts, document_frequency(counts), messages, key)
+
+
+def term_vectors(messages: DataFrame, key: str, text: str, stop_words: list[str] | None = None,
+                 ) -> DataFrame:
+    """The same with `term` as a number: terms are numbered from the rarest on, so comparing
+    and joining terms is done on integers. Written out once."""
+    counts = cut_lineage(term_counts(messages, key, text, stop_words))
+    numbered = number_rows(document_frequency(counts), ["df", "term"], "number")
+    weighted = _weighted(counts, numbered, messages, key, "number")
+    return cut_lineage(weighted.withColumnRenamed("number", "term"))
+
+
+def _weighted(counts: DataFrame, frequency: DataFrame, messages: DataFrame, key: str,
+              term: str = "term") -> DataFrame:
     if "copies" in messages.columns:
         n = messages.agg(F.sum("copies")).scalar()
     else:
         n = messages.agg(F.count("*")).scalar()
     idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
-    raw = counts.join(document_frequency(counts), "term").withColumn("raw", F.col("tf") * idf)
+    raw = counts.join(frequency, "term").withColumn("raw", F.col("tf") * idf)
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "df", (F.col("raw") / length).alias("weight"))
+    return raw.select(key, term, "df", (F.col("raw") / length).alias("weight"))
 
 
 def prefix_of(postings: DataFrame, key: str, least: float) -> DataFrame:
     """The rarest terms of every unit vector that any partner with cosine >= least must share.
 
-    Terms are taken in one global order (rare first) until the rest of the vector is shorter
+    Terms are taken by their number (rare first) until the rest of the vector is shorter
     than `least`. If two vectors shared no prefix term, all their common terms would lie in
     the rest of one of them, and their product would stay below `least`.
     """
-    rare_first = (Window.partitionBy(key).orderBy("df", "term")
+    rare_first = (Window.partitionBy(key).orderBy("term")
                   .rowsBetween(Window.unboundedPreceding, -1))
     before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare_first), F.lit(0.0))
     return postings.withColumn("_before", before).where(

@@ -50,10 +50,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later steps start from files in the shared folder, also when
-    executors are lost, and do not repeat what led here."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the shared folder and go on from there.
+
+    Later steps do not repeat what led here, also when executors are lost, and Spark plans
+    them with the true size of the table, so nothing large is broadcast on a wrong guess.
+    The folder keeps these tables until it is cleaned, like checkpoints.
+    """
+    path = new_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

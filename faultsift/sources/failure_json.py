@@ -28,17 +28,21 @@ def read_failure_json(spark: SparkSession, path: str | list[str],
 
     A file that is not JSON contributes nothing; see `unparsed_files`.
     """
-    return _scan(spark, path, schema, glob).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    rows = _scan(spark, path, schema, glob)
+    return rows.where(~_unparsed(rows)).drop(CORRUPT)
+
+
+def _unparsed(rows: DataFrame) -> Column:
+    # Spark wants a data column beside the corrupt one, so counting rows works as well;
+    # all data columns of an unparsed file are null.
+    return F.col(CORRUPT).isNotNull() & F.col(rows.columns[0]).isNull()
 
 
 def unparsed_files(spark: SparkSession, path: str | list[str],
                    schema: str = schemas.FAILURE_RECORD, glob: str = "*.json") -> DataFrame:
     """Names of the files `read_failure_json` skips."""
-    return (
-        _scan(spark, path, schema, glob)
-        .select(F.input_file_name().alias("file"), CORRUPT)
-        .where(F.col(CORRUPT).isNotNull()).select("file").distinct()
-    )
+    rows = _scan(spark, path, schema, glob)
+    return rows.where(_unparsed(rows)).select(F.input_file_name().alias("file")).distinct()
 
 
 def drop_bad_bytes(text: Column) -> Column:

@@ -28,6 +28,7 @@ def read_sheet(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     schema = ", ".join(f"`{name}` STRING" for name in names)
     rows = (
         spark.read.schema(schema).option("sep", separator).option("header", True)
+        .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
         .option("enforceSchema", True).option("multiLine", multi_line).option("escape", '"')
         .option("mode", "PERMISSIVE").csv(path)
     )
