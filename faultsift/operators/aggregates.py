@@ -37,13 +37,29 @@ def count_by(report: DataFrame, column: str) -> DataFrame:
     return groups.withColumn("pct", percent(F.col("tests"), total))
 
 
+def pattern_owner_counts(report: DataFrame) -> DataFrame:
+    """Rows and first position per pattern and owner: all a report needs from the texts."""
+    return report.groupBy("Pattern", "Owner").agg(
+        F.count("*").alias("tests"), F.min("ord").alias("first_ord"))
+
+
+def roll_up(counts: DataFrame, column: str) -> DataFrame:
+    """`count_by` from counts that were already taken."""
+    total = counts.agg(F.sum("tests")).scalar()
+    groups = counts.groupBy(column).agg(
+        F.sum("tests").alias("tests"), F.min("first_ord").alias("first_ord"))
+    return groups.withColumn("pct", percent(F.col("tests"), total))
+
+
 def owner_within_pattern(report: DataFrame) -> DataFrame:
     """Rows per owner inside each pattern, and their share of the pattern."""
-    pairs = report.groupBy("Pattern", "Owner").agg(
-        F.count("*").alias("tests"), F.min("ord").alias("first_ord"))
-    totals = report.groupBy("Pattern").agg(F.count("*").alias("_total"))
+    return owner_shares(pattern_owner_counts(report))
+
+
+def owner_shares(counts: DataFrame) -> DataFrame:
+    totals = counts.groupBy("Pattern").agg(F.sum("tests").alias("_total"))
     return (
-        pairs.join(totals, "Pattern")
+        counts.join(totals, "Pattern")
         .withColumn("pct", percent(F.col("tests"), F.col("_total")))
         .drop("_total")
     )

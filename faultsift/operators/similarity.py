@@ -19,7 +19,7 @@ from ..session import cut_lineage
 from .components import connected_components
 from .tfidf import length_from, outline, prefix_of
 
-SPARSE_BLOCK_ROWS = 512
+SPARSE_BLOCK_ROWS = 1024
 DENSE_BLOCK_ROWS = 4096
 LONG_LIST = 2000                       # vectors in one term list
 BROADCAST_VALUES = 16_000_000          # numbers in a broadcast matrix (128 MB of doubles)
@@ -220,20 +220,22 @@ def best_partner(vectors: DataFrame, least: float, allow_self: bool = False,
     Needs id, grp, left, right, rank, terms, weights.
     """
     def search(block: pd.DataFrame) -> pd.DataFrame:
-        left = block[block["role"] == 0]
-        right = block[block["role"] == 1].sort_values("rank")
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "score": [], "partner": []})
-        scores = np.round(sparse_products(left, right), DIGITS)
-        barred = left["grp"].to_numpy()[:, None] != right["grp"].to_numpy()[None, :]
-        if not allow_self:
-            barred |= left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
-        scores[barred] = -1.0
-        best = scores.argmax(axis=1)
-        score = scores[np.arange(len(left)), best]
-        found = score >= least
-        return pd.DataFrame({"id": left["id"].to_numpy()[found], "score": score[found],
-                             "partner": right["rank"].to_numpy()[best[found]]})
+        parts = [pd.DataFrame({"id": [], "score": [], "partner": []})]
+        for _, group in block.groupby("grp"):
+            left = group[group["role"] == 0]
+            right = group[group["role"] == 1].sort_values("rank")
+            if left.empty or right.empty:
+                continue
+            scores = np.round(sparse_products(left, right), DIGITS)
+            if not allow_self:
+                scores[left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]] = -1.0
+            best = scores.argmax(axis=1)
+            score = scores[np.arange(len(left)), best]
+            found = score >= least
+            parts.append(pd.DataFrame({
+                "id": left["id"].to_numpy()[found], "score": score[found],
+                "partner": right["rank"].to_numpy()[best[found]]}))
+        return pd.concat(parts)
 
     found = (
         block_copies(vectors, block_rows)

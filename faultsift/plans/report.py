@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import classify_pattern
 from ..operators import aggregates, ranking
 from ..operators.filters import resolve_columns
+from ..session import cut_lineage
 
 
 def classified(sheet: DataFrame, order: str = "ord") -> DataFrame:
@@ -19,16 +20,16 @@ def classified(sheet: DataFrame, order: str = "ord") -> DataFrame:
 def failure_report(report: DataFrame) -> dict[str, DataFrame]:
     """All tables of the report by name; each can be read or written on its own.
 
-    The counts read two short columns only, so the texts are scanned once for the pattern
-    and never shuffled.
+    The texts are classified once and reduced to counts per pattern and owner, which are
+    written out; every count comes from there. Only the samples go back to the texts.
     """
-    patterns = aggregates.count_by(report, "Pattern")
-    owners = aggregates.count_by(report, "Owner")
+    counts = cut_lineage(aggregates.pattern_owner_counts(report))
+    patterns = aggregates.roll_up(counts, "Pattern")
+    owners = aggregates.roll_up(counts, "Owner")
     return {
-        "summary": aggregates.failure_summary(report),
         "patterns": ranking.ranked(patterns),
         "owners": ranking.ranked(owners),
-        "owners_of_patterns": aggregates.owner_within_pattern(report),
+        "owners_of_patterns": aggregates.owner_shares(counts),
         "samples": ranking.sample_per_pattern(report),
         "pattern_chart": ranking.top_with_other(patterns, "Pattern"),
         "owner_chart": ranking.top(owners, 10),
