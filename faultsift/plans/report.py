@@ -27,6 +27,8 @@ def failure_report(report: DataFrame) -> dict[str, DataFrame]:
     patterns = aggregates.roll_up(counts, "Pattern")
     owners = aggregates.roll_up(counts, "Owner")
     return {
+        "summary": patterns.agg(F.coalesce(F.sum("tests"), F.lit(0)).alias("total_tests"),
+                                F.count("*").alias("patterns")),
         "patterns": ranking.ranked(patterns),
         "owners": ranking.ranked(owners),
         "owners_of_patterns": aggregates.owner_shares(counts),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultsift import schemas
 from faultsift.operators import aggregates, conversations, filters, joins, positions, ranking
 from faultsift.plans.records import error_messages, failure_records
-from faultsift.plans.report import classified
+from faultsift.plans.report import classified, failure_report
 from faultsift.sources import failure_json, landed, sheet, sinks
 
 
@@ -109,6 +109,17 @@ def test_top_with_other(spark):
         assert (chart.where("Pattern = 'Other'").count() == 1) == (n > 5)
 
 
+def test_report_tables(spark):
+    rows = [(i, "t", "Images differ" if i % 2 else f"m{i}. x", f"o{i % 3}") for i in range(7)]
+    sheet_rows = spark.createDataFrame(rows, "ord BIGINT, Name STRING, Error STRING, User STRING")
+    tables = failure_report(classified(sheet_rows))
+    assert tuple(tables["summary"].first()) == (7, 5)
+    first = tables["patterns"].first()
+    assert (first["Pattern"], first["tests"], first["pct"]) == ("Image validation error", 3, 43)
+    assert tables["samples"].count() == 7
+    assert [r["Owner"] for r in tables["owner_chart"].collect()] == ["o0", "o1", "o2"]
+
+
 def test_percentages(spark):
     row = spark.range(1).select(
         aggregates.percent(F.lit(1), F.lit(200)).alias("up"),
