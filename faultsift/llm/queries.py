@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_folder
 from .common import table
 from .language import fit_filter, predict_language
+from .mixing import mix_sources
 from .quality import quality_cascade
 from .tokens import token_counts
 from .toxicity import fit_chain, score_toxicity
+from .urls import filter_urls
+from .warc import read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -46,6 +50,33 @@ def op4_language_filters(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_warc_chains(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    write_archive(table(spark, folder, "pages"), path)
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    return read_archive(spark, path).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page("refers_to").alias("refers_to"))
+
+
+@query
+def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+#: What `pages` is judged by.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+             ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query
+def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(table(spark, folder, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
