@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_folder
 from .common import table
+from .decontamination import find_overlaps
 from .language import fit_filter, predict_language
 from .mixing import mix_sources
 from .quality import quality_cascade
@@ -30,6 +31,11 @@ def fold(parts: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
 
 
+@query
+def op1_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return find_overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op2_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
