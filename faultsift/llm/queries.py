@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import new_folder
 from .common import table
 from .decontamination import find_overlaps
+from .jaccard import jaccard_components
 from .language import fit_filter, predict_language
 from .mixing import mix_sources
 from .quality import quality_cascade
@@ -66,6 +67,11 @@ def op6_warc_chains(spark: SparkSession, folder: str) -> DataFrame:
         page("refers_to").alias("refers_to"))
 
 
+@query
+def op7_size_aware_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 @query
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).select(
