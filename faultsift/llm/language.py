@@ -10,13 +10,15 @@ with the largest corrected share decides.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import blocks, stratified_sample
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -102,7 +104,6 @@ def fit_filter(labelled: DataFrame, size: int = 3, n_slots: int = 1 << 18, hashe
 
     counted = (sample.mapInPandas(count, "lang string, gram long, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    from ..session import cut_lineage
     counted = cut_lineage(counted)
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
@@ -128,32 +129,38 @@ def fit_filter(labelled: DataFrame, size: int = 3, n_slots: int = 1 << 18, hashe
     return LanguageFilter(languages, table.reshape(n_slots, width), size, hashes)
 
 
-def predict_language(docs: DataFrame, model: LanguageFilter, key: str = "doc_id",
-                     text: str = "text") -> DataFrame:
-    """Per row: key, `lang_pred`, and `score`, the winner's part of all corrected shares.
+def language_of(text: Column, model: LanguageFilter) -> Column:
+    """A struct of `lang_pred` and `score`, the winner's part of all corrected shares.
 
     A text that is null, empty or without a letter gets `und` and 0, as does every text when no
     language was learned. A text whose n-grams are all unknown gets the first language and 0. Of equal
-    shares the first language in order wins. Repeated and null keys stay; other columns are not read.
-    """
-    def judge(batches):
-        wrong = model.false_positives() if model.languages else None
+    shares the first language in order wins."""
+    def judge(texts: list) -> pd.DataFrame:
+        prepared = [letters(t) for t in texts]
+        names = np.full(len(prepared), UNKNOWN, object)
+        score = np.zeros(len(prepared))
+        if model.languages:
+            shares, _ = model.shares(prepared, model.false_positives())
+            some = np.array([p != "  " for p in prepared])
+            best = shares.argmax(axis=1)
+            names[some] = np.array(model.languages, object)[best[some]]
+            total = np.maximum(shares.sum(axis=1), 1e-12)
+            score[some] = (shares.max(axis=1) / total)[some]
+        return pd.DataFrame({"lang_pred": names, "score": score})
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in blocks(list(batch["_text"])):
-                prepared = [letters(t) for t in batch["_text"].iloc[part]]
-                names = np.full(len(prepared), UNKNOWN, object)
-                score = np.zeros(len(prepared))
-                if model.languages:
-                    shares, _ = model.shares(prepared, wrong)
-                    some = np.array([p != "  " for p in prepared])
-                    best = shares.argmax(axis=1)
-                    names[some] = np.array(model.languages, object)[best[some]]
-                    total = np.maximum(shares.sum(axis=1), 1e-12)
-                    score[some] = (shares.max(axis=1) / total)[some]
-                yield pd.DataFrame({"_key": batch["_key"].iloc[part].array,
-                                    "lang_pred": names, "score": score})
-
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
-    return rows.mapInPandas(judge, f"_key {kind}, lang_pred string, score double").withColumnRenamed(
-        "_key", key)
+            texts = list(batch)
+            yield pd.concat([judge(texts[part]) for part in blocks(texts)] or [judge([])])
+
+    return predict(text)
+
+
+def predict_language(docs: DataFrame, model: LanguageFilter, key: str = "doc_id",
+                     text: str = "text") -> DataFrame:
+    """Per row: key, `lang_pred` and `score` of `language_of`.
+
+    Repeated and null keys stay; other columns are not read."""
+    return docs.select(docs[key], language_of(docs[text], model).alias("p")).select(
+        key, "p.lang_pred", "p.score")

@@ -12,6 +12,7 @@ from .common import table
 from .decontamination import find_overlaps
 from .jaccard import jaccard_components
 from .language import fit_filter, predict_language
+from .lines import dedup_lines
 from .mixing import mix_sources
 from .quality import quality_cascade
 from .tokens import token_counts
@@ -57,6 +58,11 @@ def op4_language_filters(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op6_warc_chains(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "warc")
