@@ -68,7 +68,7 @@ def prefix(n):
 
 def kept_head(n: int) -> int:
     """Shingles kept of a set: its prefix, and more, so that some may be moved to the end."""
-    return n if n <= SMALL else min(n, prefix(n) + 16 + n // 16)
+    return n if n <= SMALL else min(n, prefix(n) + 32 + n // 16)
 
 
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -183,23 +183,40 @@ def _possible(common: Column) -> Column:
     return (common + rest) * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("m"))
 
 
-def _pairs_across(rows: DataFrame, other: DataFrame, boundary: int) -> DataFrame:
+def _pairs_across(rows: DataFrame, boundary: int, wanted: Column) -> DataFrame:
     """Distinct (a, b) in different components that share enough of their prefixes.
 
-    Rows are (gram, small, id, n, pos, component) of prefixes in one order. Shared grams are counted
-    by pair; of small sets, shared pairs of shingles give the number of shared shingles."""
-    right = other.select("gram", "small", F.col("id").alias("b"), F.col("n").alias("m"),
-                         F.col("component").alias("c"), F.col("pos").alias("other_pos"))
-    meet = rows.join(right, ["gram", "small"])
-    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT
-    handled = F.col("small") | (F.greatest("n", "m") > boundary)
-    counted = meet.where(sized & handled & (F.col("component") != F.col("c"))).groupBy(
-        "id", "b", "n", "m", "small").agg(
+    Rows are (gram, small, id, n, pos, component, main, short) of prefixes in one order; a pair of them
+    counts where `wanted` holds of `short` and `other_short`. Sets meet in classes of size, of which two
+    similar ones are the same or neighbours. Rows of a list's main (largest) component do not meet one
+    another. Shared grams are counted by pair; of small sets, shared pairs of shingles give the number
+    of shared shingles."""
+    size_class = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
+    left = rows.where(~F.col("main")).select(
+        "gram", "small", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"),
+        F.col("component").alias("x_component"), "short",
+        F.explode(F.array(size_class - 1, size_class, size_class + 1)).alias("class"))
+    right = rows.select(
+        "gram", "small", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"),
+        F.col("component").alias("y_component"), F.col("short").alias("other_short"), "main",
+        size_class.alias("class"))
+    meet = left.join(right, ["gram", "small", "class"])
+    sized = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT
+    handled = F.col("small") | (F.greatest("x_n", "y_n") > boundary)
+    once = F.col("main") | (F.col("x") < F.col("y"))
+    met = meet.where(sized & handled & once & wanted & (F.col("x_component") != F.col("y_component")))
+    # a pair meets as (x, y) in one list and as (y, x) in another, where the main component differs
+    first = F.col("x") < F.col("y")
+    either = lambda c, d, name: F.when(first, F.col(c)).otherwise(F.col(d)).alias(name)
+    counted = met.select(
+        "small", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+        either("x_n", "y_n", "n"), either("y_n", "x_n", "m"),
+        either("x_pos", "y_pos", "pos"), either("y_pos", "x_pos", "other_pos")).groupBy(
+        "a", "b", "n", "m", "small").agg(
         F.count(F.lit(1)).alias("k"), F.max("pos").alias("last"), F.max("other_pos").alias("other_last"))
     k = F.col("k")
     common = F.when(F.col("small"), F.ceil((1 + F.sqrt(1 + 8 * k)) / 2)).otherwise(k)
-    return counted.where(_possible(common)).select(
-        F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    return counted.where(_possible(common)).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, heavy: int = 16, key: str = "doc_id",
@@ -238,16 +255,19 @@ def jaccard_components(docs: DataFrame, heavy: int = 16, key: str = "doc_id",
     # what is left: lists that hold more than one component
     lists = lists.drop("before", "before_n").join(families, lists["id"] == families["node"], "left").drop("node")
     lists = cut_lineage(lists.withColumn("component", F.coalesce("component", "id")))
-    sizes = lists.groupBy("gram", "small").agg(
-        F.count(F.lit(1)).alias("length"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_lists = cut_lineage(sizes.where(F.col("low") != F.col("high")).select("gram", "small", "length"))
-    rows_left = cut_lineage(lists.join(open_lists, ["gram", "small"]))
-    crowded = ~F.col("small") & (F.col("length") > heavy)
+    parts = lists.groupBy("gram", "small", "component").agg(F.count(F.lit(1)).alias("k"))
+    sizes = parts.groupBy("gram", "small").agg(
+        F.max(F.struct("k", "component")).alias("largest"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts"))
+    open_lists = cut_lineage(sizes.where(F.col("parts") > 1).select(
+        "gram", "small", F.col("largest.component").alias("main"), (F.col("k") - F.col("largest.k")).alias("rest")))
+    rows_left = cut_lineage(lists.join(open_lists, ["gram", "small"]).withColumn(
+        "main", F.col("main") == F.col("component")))
+    crowded = ~F.col("small") & (F.col("rest") > heavy)
 
     # each set's prefix when crowded shingles come last: it ends so many places later
     p = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     kept = F.when(F.col("n") <= SMALL, F.col("n")).otherwise(
-        F.least("n", p + 16 + F.floor(F.col("n") / 16)))
+        F.least("n", p + 32 + F.floor(F.col("n") / 16)))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1      # of at most `kept` rows
     moved = rows_left.where(crowded).withColumn("_before", F.col("pos") - rank).where(
         F.col("_before") < p).groupBy("id").agg(F.count(F.lit(1)).alias("moved"))
@@ -257,8 +277,8 @@ def jaccard_components(docs: DataFrame, heavy: int = 16, key: str = "doc_id",
     light = placed.where(~F.col("crowded") & (F.col("small") | (F.col("pos") < F.col("p") + F.col("moved"))))
     light = light.withColumn("pos", F.lit(-1))             # places in the first order say nothing here
     first_order = placed.where(~F.col("small") & (F.col("pos") < F.col("p")))
-    pairs = _pairs_across(light, light, boundary).union(
-        _pairs_across(first_order.where("short"), first_order, boundary)).distinct()
+    pairs = _pairs_across(light, boundary, F.lit(True)).union(
+        _pairs_across(first_order, boundary, F.col("short") | F.col("other_short"))).distinct()
     pairs = cut_lineage(pairs)
     more = _verified(docs, pairs, key, text)
     found = cut_lineage(connected_components(links.union(more), "a", "b"))
