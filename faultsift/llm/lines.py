@@ -111,13 +111,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 25, key: str = "doc_id", text:
     empty texts stay as they are. Rows that repeat key and text are one document, so they keep the
     same lines. Columns named n_lines or n_deleted are replaced. An empty table gives an empty table."""
     gone = later_copies(docs, min_words, key, text)
-    deleted = cut_lineage(gone.groupBy("doc").agg(F.collect_set("at").alias("_gone")))   # of one document
+    deleted = cut_lineage(gone.groupBy(F.col("doc").alias("_deleted_of")).agg(
+        F.collect_set("at").alias("_gone")))                           # of one document
     parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     n_lines = F.size(F.filter(parts, lambda line: ~line.rlike(_BLANK)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     rest = F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n")
     columns = [c for c in docs.columns if c not in (text, "n_lines", "n_deleted")]
     rows = docs.withColumn("_doc", F.xxhash64(docs[key], docs[text]))
-    return rows.join(deleted, rows["_doc"] == deleted["doc"], "left").select(
+    return rows.join(deleted, rows["_doc"] == deleted["_deleted_of"], "left").select(
         *columns, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest).alias(text),
         n_lines.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_deleted"))
