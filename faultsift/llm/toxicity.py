@@ -37,8 +37,8 @@ def shape(word: bytes) -> int:
     return 2 if any(48 <= c < 58 for c in word) else 3
 
 
-def weak_words(sample: DataFrame, least_docs: int, least_odds: float) -> list[str]:
-    """Words that toxic documents hold far more often than clean ones.
+def weak_words(sample: DataFrame, least_docs: int, least_odds: float, least_z: float = 2.8) -> list[str]:
+    """Words that toxic documents hold far more often than clean ones, by odds and beyond chance.
 
     Documents count once for each different content, told by the least hash of their words, so a
     family of copies with one label does not teach its words. The result is bounded by the sample."""
@@ -52,7 +52,11 @@ def weak_words(sample: DataFrame, least_docs: int, least_odds: float) -> list[st
         F.countDistinct(F.when(F.col("_toxic") == 1, F.col("family"))).alias("t"),
         F.countDistinct(F.when(F.col("_toxic") == 0, F.col("family"))).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    found = counted.where((F.col("t") >= least_docs) & (odds >= least_odds) & (F.col("word") != ""))
+    share = toxic / max(toxic + clean, 1)
+    total = F.col("t") + F.col("c")
+    beyond = F.col("t") - total * share >= least_z * F.sqrt(total * share * (1 - share))
+    found = counted.where(
+        (F.col("t") >= least_docs) & (odds >= least_odds) & beyond & (F.col("word") != ""))
     return sorted(r["word"] for r in found.select("word").collect())
 
 
@@ -201,7 +205,7 @@ def _fit_score(features: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndar
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000, windows: int = 3000,
-              least_docs: int = 8, least_odds: float = 2.0, key: str = "doc_id", text: str = "text",
+              least_docs: int = 3, least_odds: float = 2.0, key: str = "doc_id", text: str = "text",
               label: str = "toxic") -> Chain:
     """Fit on about `sample_rows` toxic and as many clean rows and on `windows` windows of 64 tokens.
 
