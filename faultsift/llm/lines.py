@@ -22,6 +22,8 @@ from ..session import cut_lineage
 from .common import SPACES
 
 _BLANK = f"^[{SPACES}]*$"
+#: Bits of the filter over documents that lose lines: at most 512 bitmaps of 4 KB, whatever it holds.
+FILTER_BITS = 1 << 24
 
 
 def _sequences(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -39,45 +41,56 @@ def _sequences(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _ranked(pairs: DataFrame, first: str, second: str) -> DataFrame:
-    """(doc, seq, rank): places of the pairs in sorted order, of pairs that occur twice or more."""
-    repeated = pairs.groupBy(first, second).agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    """The pairs that occur twice or more, with `rank`, their place in sorted order."""
+    repeated = cut_lineage(pairs.groupBy(first, second).agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
     ranks = cut_lineage(number_rows(repeated, [first, second], "rank"))
-    return cut_lineage(pairs.join(ranks, [first, second]).drop(first, second))
+    return pairs.join(ranks, [first, second]).drop(first, second)
 
 
 def _doubled(ranks: DataFrame, width: int) -> DataFrame:
     """Ranks of twice as many lines."""
     further = ranks.select("doc", (F.col("seq") - width).alias("seq"), F.col("rank").alias("then"))
-    return _ranked(ranks.select("doc", "seq", "rank").withColumnRenamed("rank", "now").join(
+    return _ranked(ranks.select("doc", "seq", F.col("rank").alias("now")).join(
         further, ["doc", "seq"]), "now", "then")
 
 
-def repeated_windows(active: DataFrame, min_words: int) -> DataFrame:
-    """(doc, seq, length): shortest windows of `min_words` words, of neighbouring active lines."""
+def _islands(repeated: DataFrame, min_words: int) -> DataFrame:
+    """Repeated lines whose run of neighbours has `min_words` words; no window lies elsewhere."""
     in_doc = Window.partitionBy("doc").orderBy("seq")
-    rows = active.withColumn("island", F.col("seq") - F.row_number().over(in_doc))
+    rows = repeated.withColumn("island", F.col("seq") - F.row_number().over(in_doc))
+    whole = F.sum("words").over(Window.partitionBy("doc", "island"))
+    return rows.withColumn("island_words", whole).where(F.col("island_words") >= min_words).drop("island_words")
+
+
+def repeated_windows(active: DataFrame, min_words: int) -> DataFrame:
+    """(doc, key, seq, length): shortest windows of `min_words` words, of neighbouring active lines."""
     upto = F.sum("words").over(Window.partitionBy("doc", "island").orderBy("seq"))
-    rows = rows.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
+    rows = active.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
     ahead = Window.partitionBy("doc", "island").orderBy("before").rangeBetween(0, min_words - 1)
     back = Window.partitionBy("doc", "island").orderBy("upto").rangeBetween(1 - min_words, 0)
-    rows = rows.select("doc", "seq", *[f(c).over(w).alias(n) for f, c, w, n in (
+    rows = rows.select("doc", "key", "seq", *[f(c).over(w).alias(n) for f, c, w, n in (
         (F.count, "words", ahead, "n"), (F.sum, "words", ahead, "n_words"),
         (F.count, "words", back, "m"), (F.sum, "words", back, "m_words"))])
-    forward = rows.where(F.col("n_words") >= min_words).select("doc", "seq", F.col("n").alias("length"))
-    backward = rows.where(F.col("m_words") >= min_words).select(
-        "doc", (F.col("seq") - F.col("m") + 1).alias("seq"), F.col("m").alias("length"))
-    return forward.union(backward).distinct()
+    forward = F.struct("seq", F.col("n").alias("length"))
+    backward = F.struct((F.col("seq") - F.col("m") + 1).alias("seq"), F.col("m").alias("length"))
+    found = F.array_compact(F.array(
+        F.when(F.col("n_words") >= min_words, forward), F.when(F.col("m_words") >= min_words, backward)))
+    return rows.select("doc", "key", F.explode(found).alias("w")).select(
+        "doc", "key", "w.seq", "w.length").distinct()
 
 
 def later_copies(docs: DataFrame, min_words: int = 25, key: str = "doc_id",
                  text: str = "text") -> DataFrame:
-    """(doc, at): the lines that are later copies."""
-    lines = cut_lineage(_sequences(docs, key, text).dropDuplicates(["doc", "seq"]))
-    ranks = _ranked(lines, "a", "b")
-    active = ranks.select("doc", "key", "seq", "at", "words")
+    """(doc, at): the lines that are later copies.
+
+    A window has at most `min_words` lines, so that the doubling ends. Each round goes on with the
+    suffixes inside longer windows only; equal windows have equal lengths, so all their copies go on."""
+    # a repeated row only lends its lines one count more than they have; single windows go at the end
+    ranked = _ranked(_sequences(docs, key, text), "a", "b").dropDuplicates(["doc", "seq"])
+    active = cut_lineage(_islands(ranked, min_words))
     windows = cut_lineage(repeated_windows(active, min_words))
     longest = windows.agg(F.max("length")).first()[0] or 0
-    ranks, width, named = ranks.select("doc", "seq", "rank"), 1, None
+    ranks, width, named = active.select("doc", "seq", "rank"), 1, None
     while width <= longest:
         here = windows.where((F.col("length") >= width) & (F.col("length") < 2 * width))
         start = ranks.withColumnRenamed("rank", "first_rank")
@@ -86,20 +99,33 @@ def later_copies(docs: DataFrame, min_words: int = 25, key: str = "doc_id",
             "last", (F.col("seq") + F.col("length") - width).cast("int")).join(end, ["doc", "last"]).drop("last")
         named = found if named is None else named.unionByName(found)
         if 2 * width <= longest:
-            ranks = _doubled(ranks, width)
+            longer = windows.where(F.col("length") >= 2 * width).select("doc", F.explode(F.sequence(
+                F.col("seq"), (F.col("seq") + F.col("length") - width).cast("int"))).alias("seq")).distinct()
+            ranks = cut_lineage(_doubled(ranks.join(longer, ["doc", "seq"]), width))
         width *= 2
     if named is None:
         return active.select("doc", "at").limit(0)
     # the order of copies: key (null last), document, place
-    keys = active.select("doc", "seq", "key")
-    named = cut_lineage(named.join(keys, ["doc", "seq"]).withColumn(
+    named = cut_lineage(named.withColumn(
         "order", F.struct(F.col("key").isNull(), "key", "doc", "seq")).drop("key"))
     name = ["length", "first_rank", "last_rank"]
     firsts = named.groupBy(*name).agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     later = named.join(firsts.drop("k"), name).where(F.col("order") != F.col("first"))
     covered = later.select("doc", F.explode(F.sequence(
         F.col("seq"), (F.col("seq") + F.col("length") - 1).cast("int"))).alias("seq")).distinct()
-    return cut_lineage(covered.join(active.select("doc", "seq", "at"), ["doc", "seq"]).select("doc", "at"))
+    return covered.join(active.select("doc", "seq", "at"), ["doc", "seq"]).select("doc", "at")
+
+
+def _may_be_in(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows with `_maybe`: false only where `_doc` is not among `_deleted_of`."""
+    place = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS)) + 1
+    bitmaps = found.groupBy(F.bitmap_bucket_number(place("_deleted_of")).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place("_deleted_of"))).alias("_bits"))
+    bit = F.bitmap_bit_position(place("_doc"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("_bucket", F.bitmap_bucket_number(place("_doc"))).join(
+        F.broadcast(bitmaps), "_bucket", "left").withColumn(               # 2 MB at most
+        "_maybe", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 25, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,7 +144,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 25, key: str = "doc_id", text:
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     rest = F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n")
     columns = [c for c in docs.columns if c not in (text, "n_lines", "n_deleted")]
-    rows = docs.withColumn("_doc", F.xxhash64(docs[key], docs[text]))
-    return rows.join(deleted, rows["_doc"] == deleted["_deleted_of"], "left").select(
+    # only texts that may lose lines are shuffled
+    rows = _may_be_in(docs.withColumn("_doc", F.xxhash64(docs[key], docs[text])), deleted)
+    touched = rows.where("_maybe").join(deleted, F.col("_doc") == F.col("_deleted_of"), "left")
+    whole = rows.where(~F.col("_maybe")).withColumn("_gone", F.lit(None).cast("array<int>"))
+    out = lambda found: found.select(
         *columns, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest).alias(text),
         n_lines.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_deleted"))
+    return out(touched).union(out(whole))
