@@ -143,7 +143,7 @@ def _replies(spark, folder):
     """Benchmark texts as replies; every third one has no numbered fields."""
     reply = F.concat(F.lit(REPLY[0]), F.substring("text", 1, 40), F.lit(REPLY[1]),
                      F.col("item_id").cast("string"), F.lit(REPLY[2]),
-                     F.substring("text", 41, 1_000_000), F.lit(REPLY[3]))
+                     F.substring(F.col("text"), F.lit(41), F.length("text")), F.lit(REPLY[3]))
     return fx.table(spark, folder, "benchmark").select(
         "item_id", F.when(F.col("item_id") % 3 == 2, F.col("text")).otherwise(reply).alias("reply"))
 

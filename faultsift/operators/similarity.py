@@ -262,8 +262,9 @@ def nearest_within(postings: DataFrame, least: float) -> DataFrame:
 # --- dense -------------------------------------------------------------------------------
 
 def unit_rows(vectors) -> np.ndarray:
-    """Matrix of unit rows; zero vectors stay zero."""
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    """Matrix of unit rows; zero vectors stay zero, and null ones count as zero vectors."""
+    width = max((len(v) for v in vectors if v is not None), default=0)
+    matrix = np.stack([np.zeros(width) if v is None else np.asarray(v, dtype=np.float64) for v in vectors])
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 

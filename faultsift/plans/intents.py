@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +33,12 @@ def features(utterances: DataFrame, text: str = "text") -> DataFrame:
 
 
 def train_intents(examples: DataFrame, text: str = "text", intent: str = "intent",
-                  vocabulary: int = 20_000) -> PipelineModel:
-    """Fit on annotated examples; the two vocabularies have a fixed largest size."""
+                  width: int = 1 << 18) -> PipelineModel:
+    """Fit on annotated examples; every term counts, at its hash in one of two indexes of fixed width."""
     stages = [
         StringIndexer(inputCol=intent, outputCol="intent_index", stringOrderType="alphabetAsc"),
-        CountVectorizer(inputCol="words", outputCol="word_counts", vocabSize=vocabulary),
-        CountVectorizer(inputCol="grams", outputCol="gram_counts", vocabSize=vocabulary),
+        HashingTF(inputCol="words", outputCol="word_counts", numFeatures=width),
+        HashingTF(inputCol="grams", outputCol="gram_counts", numFeatures=width),
         VectorAssembler(inputCols=["word_counts", "gram_counts"], outputCol="features"),
         LogisticRegression(labelCol="intent_index", maxIter=10, regParam=0.01),
     ]

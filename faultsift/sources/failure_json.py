@@ -10,25 +10,27 @@ from .. import schemas
 CORRUPT = "_unparsed"
 
 
-def _scan(spark: SparkSession, path: str | list[str], schema: str, glob: str) -> DataFrame:
+def _scan(spark: SparkSession, path: str | list[str], schema: str, glob: str,
+          subfolders: bool) -> DataFrame:
     return (
         spark.read.schema(f"{schema}, {CORRUPT} STRING")
         .option("multiLine", True)
         .option("allowUnquotedControlChars", True)     # raw line breaks inside texts
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("recursiveFileLookup", True)
+        .option("recursiveFileLookup", subfolders)
         .option("pathGlobFilter", glob)
         .json(path)
     )
 
 
 def read_failure_json(spark: SparkSession, path: str | list[str],
-                      schema: str = schemas.FAILURE_RECORD, glob: str = "*.json") -> DataFrame:
-    """Failure records of one file, several files or a folder.
+                      schema: str = schemas.FAILURE_RECORD, glob: str = "*.json",
+                      subfolders: bool = False) -> DataFrame:
+    """Failure records of one file, several files or a folder, its sub-folders on request.
 
     A file that is not JSON contributes nothing; see `unparsed_files`.
     """
-    rows = _scan(spark, path, schema, glob)
+    rows = _scan(spark, path, schema, glob, subfolders)
     return rows.where(~_unparsed(rows)).drop(CORRUPT)
 
 
@@ -39,9 +41,10 @@ def _unparsed(rows: DataFrame) -> Column:
 
 
 def unparsed_files(spark: SparkSession, path: str | list[str],
-                   schema: str = schemas.FAILURE_RECORD, glob: str = "*.json") -> DataFrame:
+                   schema: str = schemas.FAILURE_RECORD, glob: str = "*.json",
+                   subfolders: bool = False) -> DataFrame:
     """Names of the files `read_failure_json` skips."""
-    rows = _scan(spark, path, schema, glob)
+    rows = _scan(spark, path, schema, glob, subfolders)
     return rows.where(_unparsed(rows)).select(F.input_file_name().alias("file")).distinct()
 
 
