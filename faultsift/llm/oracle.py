@@ -59,4 +59,44 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS pay
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM firsts"""
 
-SQL = {"op3_quality_cascade": _QUALITY, "op6_warc_chains": _WARC}
+#: Phrases of one to five words, as k neighbours of a piece; products in 128 bits.
+_PHRASES = r"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS p, lang, piece FROM (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+words AS (
+    SELECT p, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM words GROUP BY lang),
+counts AS (
+    SELECT lang, k, phrase, count(*) AS f FROM (
+        SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (
+            SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+            FROM words, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k))
+    GROUP BY lang, k, phrase),
+found AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM counts WHERE k > 1 AND f >= 100),
+inside AS (
+    SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(f) AS longer FROM (
+        SELECT lang, ws, f, j, unnest(range(1, k - j + 2)) AS i FROM (
+            SELECT lang, ws, f, k, unnest(range(2, k)) AS j FROM found)) GROUP BY ALL),
+kept AS (
+    SELECT f.* FROM found f LEFT JOIN inside i ON f.lang = i.lang AND f.phrase = i.phrase
+    WHERE longer IS NULL OR 100 * longer < 100 * f.f),
+cuts AS (
+    SELECT lang, phrase, f AS a, c, array_to_string(ws[:c], ' ') AS x, array_to_string(ws[c + 1:], ' ') AS y
+    FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, c.c, l.f AS l, r.f AS r, t.n,
+           (1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f) AS score
+    FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.x
+    JOIN counts r ON r.lang = c.lang AND r.phrase = c.y JOIN totals t ON t.lang = c.lang),
+worst AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000"""
+
+SQL = {"op13_collocations": _PHRASES, "op3_quality_cascade": _QUALITY, "op6_warc_chains": _WARC}

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..session import new_folder
 from .common import table
+from .conversations import repair_conversations
 from .decontamination import find_overlaps
 from .jaccard import jaccard_components
 from .language import fit_filter, predict_language
 from .lines import dedup_lines
 from .mixing import mix_sources
+from .packing import pack_documents
+from .phrases import collocations
 from .quality import quality_cascade
 from .tokens import token_counts
 from .toxicity import fit_chain, score_toxicity
@@ -102,3 +105,22 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
         model = file.read()
     return token_counts(table(spark, folder, "documents"), model)
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    return pack_documents(table(spark, folder, "documents"), tokenizer)
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_conversations(table(spark, folder, "conversations"))
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
