@@ -11,7 +11,10 @@ sorted or sent to one place.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 
@@ -29,12 +32,17 @@ Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
 class ChunkIds:
-    """Ids of whole texts as little-endian 32-bit bytes, by encoding each distinct chunk once.
+    """Ids of whole texts as little-endian 32-bit bytes, by encoding each distinct word once.
 
-    The tokenizer must drop white space between its pre-tokens, so that a text's ids are those of its chunks
-    between spaces and line feeds, one after another. The memory of known chunks is bounded."""
+    For tokenizers that drop white space and make every run of letters a pre-token whose last token, and no other,
+    ends in the model's word end. Then a text's ids are those of its chunks between spaces and line feeds; a chunk of
+    Latin letters with punctuation after it is two parts; and words of Latin letters are encoded many at a time, as
+    word ends tell them apart. Other chunks are encoded one by one. The memory of known chunks is bounded."""
 
-    def __init__(self, file: str, memory: int = 200_000, longest: int = 48):
+    #: Latin letters, each one character in NFC, and what may end a word.
+    _WORD = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+)([.,;:!?]*)")
+
+    def __init__(self, file: str, memory: int = 600_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,14 +51,56 @@ class ChunkIds:
         self.tokenizer.no_padding()
         self.memory, self.longest = memory, longest
         self.known: dict[str, bytes] = {}
+        normalizer = self.tokenizer.normalizer
+        self.folds = normalizer is not None and normalizer.normalize_str("aZ") == "az"
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        if suffix:
+            self.ends[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith(suffix)]] = True
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of Latin letters."""
+        out = []
+        for at in range(0, len(words), 1000):
+            some = words[at:at + 1000]
+            ids = self._encoded([" ".join(some)])[0]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                data, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                out += [data[a:b] for a, b in itertools.pairwise(cuts)]
+            else:
+                out += [x.tobytes() for x in self._encoded(some)]
+        return out
+
+    def _learn(self, missing: list[str]) -> None:
+        words, rest, whole = set(), {}, []
+        for chunk in missing:
+            found = self._WORD.fullmatch(chunk)
+            if found:
+                words.add(found[1])
+                rest[found[2]] = b""
+                whole.append((chunk, found[1], found[2]))
+            else:
+                rest[chunk] = b""
+        # as the tokenizer does; other letters are left to it
+        fold = (lambda w: w.lower() if w.isascii() else w) if self.folds else str
+        distinct = list(set(map(fold, words)))
+        words = dict(zip(distinct, self._words(distinct), strict=True))
+        for chunk, ids in zip(rest, self._encoded(list(rest)), strict=True):
+            rest[chunk] = self.known[chunk] = ids.tobytes()
+        for chunk, word, end in whole:
+            self.known[chunk] = words[fold(word)] + rest[end]
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.memory:
-            self.known = {}
         parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        missing = list(set().union(*parts).difference(self.known)) if parts else []
-        for chunk, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.asarray(found.ids, "<u4").tobytes()
+        chunks = set().union(*parts)
+        if len(self.known) > self.memory:                     # what is needed now is often needed again
+            self.known = {c: self.known[c] for c in chunks if c in self.known}
+        missing = list(chunks.difference(self.known))
+        self._learn(missing)
         out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         for chunk in missing:
             if len(chunk) > self.longest:
@@ -58,6 +108,12 @@ class ChunkIds:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _shared(file: str) -> ChunkIds:
+    """One encoder a Python worker, which goes on to its next tasks."""
+    return ChunkIds(file)
+
+
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """No packing has fewer sequences: for each least length, what cannot share and what does not fit beside it."""
     n = np.zeros(capacity + 1, np.int64)
@@ -236,7 +292,7 @@ def _pieces(docs: DataFrame, file: str, capacity: int, end: int, key: str, text:
     kind = docs.schema[key].dataType.simpleString()
 
     def make(batches):
-        encode, part = ChunkIds(file), TaskContext.get().partitionId()
+        encode, part = _shared(file), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         last = np.asarray([end], "<u4").tobytes()
         for batch in batches:
