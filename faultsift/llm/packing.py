@@ -12,6 +12,7 @@ sorted or sent to one place.
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 import os
 import re
@@ -40,9 +41,9 @@ class ChunkIds:
     word ends tell them apart. Other chunks are encoded one by one. The memory of known chunks is bounded."""
 
     #: Latin letters, each one character in NFC, and what may end a word.
-    _WORD = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+)([.,;:!?]*)")
+    _WORD = re.compile("(?m)^([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+)([.,;:!?]*)$")
 
-    def __init__(self, file: str, memory: int = 600_000, longest: int = 48):
+    def __init__(self, file: str, memory: int = 800_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,35 +77,34 @@ class ChunkIds:
         return out
 
     def _learn(self, missing: list[str]) -> None:
-        words, rest, whole = set(), {}, []
-        for chunk in missing:
-            found = self._WORD.fullmatch(chunk)
-            if found:
-                words.add(found[1])
-                rest[found[2]] = b""
-                whole.append((chunk, found[1], found[2]))
-            else:
-                rest[chunk] = b""
-        # as the tokenizer does; other letters are left to it
-        fold = (lambda w: w.lower() if w.isascii() else w) if self.folds else str
-        distinct = list(set(map(fold, words)))
-        words = dict(zip(distinct, self._words(distinct), strict=True))
-        for chunk, ids in zip(rest, self._encoded(list(rest)), strict=True):
-            rest[chunk] = self.known[chunk] = ids.tobytes()
-        for chunk, word, end in whole:
-            self.known[chunk] = words[fold(word)] + rest[end]
+        pairs = self._WORD.findall("\n".join(missing))
+        whole = list(map("".join, pairs))
+        words = [w for w, _ in pairs]
+        if self.folds:                                        # as the tokenizer does, letter by letter
+            words = "\n".join(words).lower().split("\n")
+        new = list(set(words).difference(self.known))         # words are kept without what ends them too
+        self.known.update(zip(new, self._words(new), strict=True))
+        rest = list(set(missing).difference(whole).union(e for _, e in pairs))
+        ends = {chunk: x.tobytes() for chunk, x in zip(rest, self._encoded(rest), strict=True)}
+        self.known.update(ends)
+        self.known.update((c, self.known[w] + ends[e]) for c, w, (_, e) in zip(whole, words, pairs, strict=False))
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        chunks = set().union(*parts)
-        if len(self.known) > self.memory:                     # what is needed now is often needed again
-            self.known = {c: self.known[c] for c in chunks if c in self.known}
-        missing = list(chunks.difference(self.known))
-        self._learn(missing)
-        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        gc.disable()                                          # millions of strings, and no cycles
+        try:
+            parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+            chunks = set().union(*parts)
+            if len(self.known) > self.memory:                 # what is needed now is often needed again
+                self.known = {c: self.known[c] for c in chunks if c in self.known}
+            missing = list(chunks.difference(self.known))
+            self._learn(missing)
+            out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        finally:
+            gc.enable()
         for chunk in missing:
             if len(chunk) > self.longest:
-                del self.known[chunk]
+                for long in (chunk, chunk.lower().rstrip(".,;:!?")):
+                    self.known.pop(long, None)
         return out
 
 
