@@ -23,6 +23,11 @@ def words_column(text: str) -> Column:
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), f"[{SPACES}]+"), lambda w: w != "")
 
 
+def as_text(key: Column) -> Column:
+    """A key as text, for the way through pandas: an integer beside a null would become a float there."""
+    return key.cast("string")
+
+
 def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 

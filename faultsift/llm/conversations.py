@@ -25,11 +25,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.positions import number_rows
 from ..session import cut_lineage
-from .common import SPACES
+from .common import SPACES, as_text
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 INITIALS = "sua"
@@ -270,9 +269,9 @@ def _node(at: Column, fan: int, conv: str = "conv") -> Column:
     return F.struct(F.col(conv).alias("conv"), at.cast("long").alias("at"), F.floor(at / fan).cast("long").alias("parent"))
 
 
-def _solved(blocks: DataFrame, kind: str, fan: int) -> tuple[DataFrame, DataFrame]:
+def _solved(blocks: DataFrame, fan: int) -> tuple[DataFrame, DataFrame]:
     """(node, edits) of all blocks, and (conv, cost, illegal) of all conversations."""
-    node = f"node struct<conv:{kind},at:bigint,parent:bigint>"
+    node = "node struct<conv:string,at:bigint,parent:bigint>"
     levels = [cut_lineage(blocks.mapInPandas(_summed_blocks, f"{node}, {_SUMMARY}"))]
     parents = []
     while not parents or levels[-1].agg(F.max("node.at") - F.min("node.at")).first()[0]:
@@ -325,43 +324,41 @@ class _Repaired:
             self.first = False
 
 
-def _stream(kind: pa.DataType):
-    def run(batches):
-        conv, now, waiting, done = None, None, [], 0
-        out: tuple[list, list, list] = ([], [], [])
-
-        def finish():
-            for edits in waiting[done:]:                      # what follows the last row
-                now.row(edits, None, None)
-            for column, value in zip(out, (conv, "".join(now.audit), now.hash.hexdigest()), strict=True):
-                column.append(value)
-
-        def flush():
-            frame = pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.string()),
-                                                pa.array(out[2], pa.string())], ["conv", "audit", "repaired_sha256"])
-            for column in out:
-                column.clear()
-            return frame
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("conv", "role", "text", "edits")]
-            for key, role, text, edits in zip(*columns, strict=True):
-                if now is None or key != conv:
-                    if now is not None:
-                        finish()
-                    conv, now, waiting, done = key, _Repaired(), [], 0
-                if edits is not None:
-                    del waiting[:done]
-                    done = 0
-                    waiting += edits
-                else:
-                    now.row(waiting[done], role, text)
-                    done += 1
-            yield flush()
-        if now is not None:
-            finish()
-            yield flush()
-    return run
+def _stream(batches):
+    conv, now, waiting, done = None, None, [], 0
+    out: tuple[list, list, list] = ([], [], [])
+
+    def finish():
+        for edits in waiting[done:]:                      # what follows the last row
+            now.row(edits, None, None)
+        for column, value in zip(out, (conv, "".join(now.audit), now.hash.hexdigest()), strict=True):
+            column.append(value)
+
+    def flush():
+        frame = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()),
+                                            pa.array(out[2], pa.string())], ["conv", "audit", "repaired_sha256"])
+        for column in out:
+            column.clear()
+        return frame
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("conv", "role", "text", "edits")]
+        for key, role, text, edits in zip(*columns, strict=True):
+            if now is None or key != conv:
+                if now is not None:
+                    finish()
+                conv, now, waiting, done = key, _Repaired(), [], 0
+            if edits is not None:
+                del waiting[:done]
+                done = 0
+                waiting += edits
+            else:
+                now.row(waiting[done], role, text)
+                done += 1
+        yield flush()
+    if now is not None:
+        finish()
+        yield flush()
 
 
 def repair_conversations(rows: DataFrame, width: int = 1024, fan: int = 256, conv: str = "conv_id", turn: str = "turn",
@@ -376,7 +373,7 @@ def repair_conversations(rows: DataFrame, width: int = 1024, fan: int = 256, con
     `width` rows are a block, `fan` blocks (or nodes) a node of the tree. SHA-256 reads a whole conversation in one
     task, batch by batch; everything else of a long conversation is spread."""
     kind = rows.schema[conv].dataType
-    there = damage(rows, conv, turn, role, text)
+    there = damage(rows, conv, turn, role, text).withColumn("conv", as_text(F.col("conv")))
     lines = cut_lineage(_faults(there))
     listed = cut_lineage(lines.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(
         "conv", "turn", "role", "print", "copy",
@@ -389,7 +386,7 @@ def repair_conversations(rows: DataFrame, width: int = 1024, fan: int = 256, con
         F.count_if(fault == CUT_OFF).alias("truncated"))
     spans = lines.groupBy("conv").agg(
         (F.max("turn") - F.min("turn") + 1).alias("_span"), F.countDistinct("turn").alias("_turns"))
-    every = cut_lineage(rows.select(rows[conv].alias("conv")).distinct())
+    every = cut_lineage(rows.select(as_text(rows[conv]).alias("conv")).distinct())
 
     # rows of a conversation and its end, numbered in order over the whole table
     ends = every.select("conv", F.lit(1).alias("last"), F.lit(None).cast(listed.schema["turn"].dataType).alias("turn"),
@@ -400,7 +397,7 @@ def repair_conversations(rows: DataFrame, width: int = 1024, fan: int = 256, con
         F.array_sort(F.collect_list(F.struct("place", "kind"))).alias("rows"),
         F.min(F.struct("place", "last", "turn", "role", "print")).alias("lead")))
     shaped = blocks.select(_node(F.col("at"), fan).alias("node"), F.col("rows.kind").alias("kinds"))
-    edits, totals = _solved(shaped, kind.simpleString(), fan)
+    edits, totals = _solved(shaped, fan)
     first = blocks.select(F.col("conv").alias("b_conv"), F.col("at").alias("b_at"), "lead")
     orders = edits.join(first, F.col("node.conv").eqNullSafe(F.col("b_conv")) & (F.col("node.at") == F.col("b_at")))
     orders = orders.select(
@@ -413,14 +410,14 @@ def repair_conversations(rows: DataFrame, width: int = 1024, fan: int = 256, con
     stream = orders.unionByName(texts).repartition("conv").sortWithinPartitions(
         "conv", "last", "turn", "role", "print", "is_row", "at")
     repaired = stream.select("conv", "role", "text", "edits").mapInArrow(
-        _stream(to_arrow_type(kind)), f"conv {kind.simpleString()}, audit string, repaired_sha256 string")
+        _stream, "conv string, audit string, repaired_sha256 string")
 
     out = every.alias("e")
     for name, part in (("s", seen), ("g", spans), ("t", totals), ("r", repaired)):
         out = out.join(part.alias(name), F.col("e.conv").eqNullSafe(F.col(f"{name}.conv")), "left")
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.select(
-        F.col("e.conv").alias(conv), (number("_span") - number("_turns")).alias("gaps"),
+        F.col("e.conv").cast(kind).alias(conv), (number("_span") - number("_turns")).alias("gaps"),
         *[number(c).alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")], "audit", "repaired_sha256")
 
 

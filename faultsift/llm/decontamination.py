@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import Membership, WordHashes, blocks, mixed
+from .common import Membership, WordHashes, as_text, blocks, mixed
 
 MASKS = ("1101001101", "1011000111", "1110010011")
 #: Items below the span of the masks are looked up whole; below this length they are not searched.
@@ -122,8 +122,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, least: int = 10, reach: int
                 yield pd.DataFrame(rows, columns=["_key", "low", "tokens", "places", "seeds"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).mapInPandas(
-        search, f"_key {kind}, low long, tokens array<long>, places array<long>, seeds array<long>")
+    found = docs.select(as_text(docs[key]).alias("_key"), docs[text].alias("_text")).mapInPandas(
+        search, "_key string, low long, tokens array<long>, places array<long>, seeds array<long>")
     parts = cut_lineage(found.withColumn("part", F.monotonically_increasing_id()))
     hits = parts.select("part", F.explode(F.arrays_zip("places", "seeds")).alias("hit")).select(
         "part", F.col("hit.places").alias("at"), F.col("hit.seeds").alias("seed"))
@@ -157,9 +157,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, least: int = 10, reach: int
         hashed_items, "item")
     numbers = ["item_id", "doc_start", "item_start", "n_tokens", "n_matches"]
     verified = placed.mapInPandas(
-        verify, f"_key {kind}, " + ", ".join(f"{c} long" for c in numbers))
+        verify, "_key string, " + ", ".join(f"{c} long" for c in numbers))
     best = F.max(F.struct("n_matches", -F.col("n_tokens"), -F.col("doc_start"), -F.col("item_start"))).alias("b")
     return verified.groupBy("_key", "item_id").agg(best).select(
-        F.col("_key").alias(key), "item_id", (-F.col("b.col3")).alias("doc_start"),
+        F.col("_key").cast(kind).alias(key), "item_id", (-F.col("b.col3")).alias("doc_start"),
         (-F.col("b.col4")).alias("item_start"), (-F.col("b.col2")).alias("n_tokens"),
         F.col("b.n_matches").alias("n_matches"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut_lineage
-from .common import Membership, WordHashes, blocks, encoded, mixed
+from .common import Membership, WordHashes, as_text, blocks, encoded, mixed
 
 WIDTH = 5
 #: Similarity 100 * overlap >= 75 * union.
@@ -83,8 +83,9 @@ def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
                     "print": [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets],
                     "head": [s[:kept_head(len(s))].view(np.int64) for s in sets]})
 
-    rows = docs.select(docs[key].cast("long").alias("_key"), docs[text].alias("_text"))
-    return rows.mapInPandas(make, "id long, n long, print binary, head array<long>")
+    rows = docs.select(as_text(docs[key].cast("long")).alias("_key"), docs[text].alias("_text"))
+    return rows.mapInPandas(make, "id string, n long, print binary, head array<long>").withColumn(
+        "id", F.col("id").cast("long"))
 
 
 def choose_boundary(sets: DataFrame, scan_cost: float = 2.0) -> int:
@@ -156,15 +157,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFra
         for batch in batches:
             known = batch["_key"].notna()
             some = known.to_numpy()
-            some[some] = wanted.has(batch["_key"][known].to_numpy(np.int64).view(np.uint64))
+            some[some] = wanted.has(batch["_key"][known].astype(np.int64).to_numpy().view(np.uint64))
             batch = batch[some]
             for part in blocks(list(batch["_text"])):
                 sets = shingle_sets(list(batch["_text"].iloc[part]), hashes)
                 yield pd.DataFrame({"id": batch["_key"].iloc[part].array,
                                     "grams": [s.view(np.int64) for s in sets]})
 
-    rows = docs.select(docs[key].cast("long").alias("_key"), docs[text].alias("_text"))
-    whole = cut_lineage(rows.mapInPandas(make, "id long, grams array<long>"))
+    rows = docs.select(as_text(docs[key].cast("long")).alias("_key"), docs[text].alias("_text"))
+    whole = cut_lineage(rows.mapInPandas(make, "id string, grams array<long>").withColumn(
+        "id", F.col("id").cast("long")))
     both = (pairs.join(whole.select(F.col("id").alias("a"), F.col("grams").alias("left")), "a")
             .join(whole.select(F.col("id").alias("b"), F.col("grams").alias("right")), "b"))
     overlap = F.size(F.array_intersect("left", "right"))

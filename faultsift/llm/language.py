@@ -9,19 +9,20 @@ with the largest corrected share decides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import blocks, stratified_sample
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What is no letter; `\w` also holds number signs such as a half.
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, encoded, hash_fraction
+from .common import as_text, blocks, encoded, hash_fraction
 
 _SPACE, _SYMBOLS, _DIGITS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b"0123456789"
 _UPPER = bytes(range(65, 91))
@@ -184,7 +184,8 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
                 yield out.drop(columns="data")
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
+    rows = docs.select(as_text(docs[key]).alias("_key"), docs[text].alias("_text"))
     return rows.mapInPandas(
-        judge, f"_key {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, base_failed boolean, kept boolean").withColumnRenamed("_key", key)
+        judge, "_key string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+        "n_repeat_words long, base_failed boolean, kept boolean").withColumn(
+        "_key", F.col("_key").cast(kind)).withColumnRenamed("_key", key)

@@ -45,7 +45,8 @@ def op1_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
 def op2_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     chain = fit_chain(docs, table(spark, folder, "labels").where(fold(3) != 1))
-    return score_toxicity(docs, chain).withColumn("held_out", fold(3) == 1)
+    return score_toxicity(docs, chain).select(
+        "doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted", "n_words", "spans")
 
 
 @query

@@ -13,8 +13,9 @@ import re
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import blocks, encoded
+from .common import as_text, blocks, encoded
 
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
@@ -94,7 +95,7 @@ def token_counts(docs: DataFrame, model: bytes, limit: int = 4096, key: str = "d
                     "n_tokens": n, "over_limit": [x > limit for x in n]})
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
+    rows = docs.select(as_text(docs[key]).alias("_key"), docs[text].alias("_text"))
     return rows.mapInPandas(
-        count, f"_key {kind}, n_bytes long, n_tokens long, over_limit boolean"
-    ).withColumnRenamed("_key", key)
+        count, "_key string, n_bytes long, n_tokens long, over_limit boolean"
+    ).withColumn("_key", F.col("_key").cast(kind)).withColumnRenamed("_key", key)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import blocks, encoded, stratified_sample, words_column
+from .common import as_text, blocks, encoded, stratified_sample, words_column
 
 _TRIM = b".,;:!?\"'()[]{}*#%&$|<>-_"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -305,7 +305,8 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.7, key: s
                               zip(texts, starts, sizes, features, strict=True)]})
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
+    rows = docs.select(as_text(docs[key]).alias("_key"), docs[text].alias("_text"))
     return rows.mapInPandas(
-        judge, f"_key {kind}, score double, predicted int, n_words long, "
-        "spans array<struct<start:long,end:long,score:double>>").withColumnRenamed("_key", key)
+        judge, "_key string, score double, predicted int, n_words long, "
+        "spans array<struct<start:long,end:long,score:double>>").withColumn(
+        "_key", F.col("_key").cast(kind)).withColumnRenamed("_key", key)
