@@ -117,10 +117,51 @@ def _(spark, folder):
         sinks.write_failure_json(
             fx.message_records(spark, folder).where(F.col("doc_id") % 2 == half), path)
         paths.append(path)
-    records = spark.read.schema(RECORD).json(paths)
+    records = failure_json.read_failure_json(spark, paths, RECORD, "*", lines=True)
     return error_messages(records, ["doc_id"]).select("ord", "Message")
 
 
+def _write_mistyped(spark, folder) -> str:
+    """The record arrays with a first field that no record has, text in a boolean field of every eleventh
+    record and a number in a text field of every third."""
+    path = new_folder(spark, "mistyped")
+    records = fx.message_records(spark, folder)
+    number = F.col("doc_id")
+    one = F.to_json(F.struct(*[c for c in records.columns if c not in ("HasInvestigation", "Owner")]))
+    flag = F.when(number % 11 == 0, '"unknown"').otherwise(F.col("HasInvestigation").cast("string"))
+    owner = F.when(number % 3 == 0, number.cast("string")).otherwise(F.to_json(F.struct("Owner")).substr(10, 1 << 20))
+    owner = F.when(number % 3 == 0, owner).otherwise(F.regexp_replace(owner, r"\}$", ""))
+    owner = F.when(F.col("Owner").isNull() & (number % 3 != 0), "null").otherwise(owner)
+    body = F.concat(F.regexp_replace(one, r"\}$", ""), F.lit(', "HasInvestigation": '), flag,
+                    F.lit(', "Owner": '), owner, F.lit("}"))
+    (records.select(F.floor(number / PER_FILE).alias("file"), body.alias("one"))
+     .groupBy("file").agg(F.array_join(F.collect_list("one"), ",\n").alias("body"))
+     .select("file", F.concat(F.lit("["), "body", F.lit("]")).alias("value"))
+     .repartition("file").write.partitionBy("file").text(path))
+    return path
+
+
+MISTYPED = f"Absent STRING, {RECORD}"
+
+
+@query("read_mistyped_json", """
+SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN CAST(d.doc_id AS VARCHAR)
+                      WHEN d.doc_id % 13 <> 1 THEN d.source END AS Owner,
+       CASE WHEN d.doc_id % 11 <> 0 THEN coalesce(quality, 0) = 1 END AS HasInvestigation
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def _(spark, folder):
+    return failure_json.read_failure_json(spark, _write_mistyped(spark, folder), MISTYPED, "*.txt").select(
+        "doc_id", "Owner", "HasInvestigation")
+
+
+@query("rejected_json_values", """
+SELECT 'HasInvestigation' AS field, 'unknown' AS value, count(*) AS n FROM documents WHERE doc_id % 11 = 0
+HAVING count(*) > 0""")
+def _(spark, folder):
+    return failure_json.rejected_values(spark, _write_mistyped(spark, folder), MISTYPED, "*.txt").groupBy(
+        "field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("repair_control_chars", """
 SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT)
        + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS line_breaks FROM documents""")

@@ -262,13 +262,22 @@ def nearest_within(postings: DataFrame, least: float) -> DataFrame:
 # --- dense -------------------------------------------------------------------------------
 
 def unit_rows(vectors) -> np.ndarray:
-    """Matrix of unit rows; zero vectors stay zero, and null ones count as zero vectors."""
+    """Matrix of unit rows; zero vectors stay zero, and null ones count as zero vectors.
+
+    Rows that are all null have no width; see `cosines`."""
     width = max((len(v) for v in vectors if v is not None), default=0)
     matrix = np.stack([np.zeros(width) if v is None else np.asarray(v, dtype=np.float64) for v in vectors])
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
+def cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """All cosines of two matrices of unit rows, as many digits as count; 0 where one is all null."""
+    if not left.shape[1] or not right.shape[1]:
+        return np.zeros((len(left), len(right)))
+    return np.round(left @ right.T, DIGITS)
+
+
 def _numbers(count: int) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
 
@@ -291,14 +300,14 @@ def nearest_anchor(targets: DataFrame, anchors: DataFrame, key: str, vector: str
     def best_of(keys, matrix, ranks, table):
         parts = []
         for start in range(0, len(matrix), 512):
-            scores = np.round(matrix[start:start + 512] @ table.T, DIGITS)
+            scores = cosines(matrix[start:start + 512], table)
             best = scores.argmax(axis=1)
             parts.append(pd.DataFrame({
                 key: keys[start:start + 512],
                 "score": scores[np.arange(len(best)), best], "anchor": ranks[best]}))
         return pd.concat(parts)
 
-    if rows * int(size["d"]) <= broadcast_values:
+    if rows * max(size["d"] or 0, 1) <= broadcast_values:
         local = anchors.select(F.col(rank).cast("bigint").alias("r"), F.col(vector).alias("v")) \
             .orderBy("r").toPandas()
         sent = targets.sparkSession.sparkContext.broadcast(
@@ -368,7 +377,7 @@ def neighbour_counts(rows: DataFrame, key: str, vector: str, eps: float,
         same_block = block["i"].iloc[0] == block["j"].iloc[0]
         n_left, n_right = np.zeros(len(ids), dtype=np.int64), np.zeros(len(other), dtype=np.int64)
         for start in range(0, len(ids), 512):
-            near = np.round(matrix[start:start + 512] @ table.T, DIGITS) >= 1.0 - eps
+            near = cosines(matrix[start:start + 512], table) >= 1.0 - eps
             near &= ids[start:start + 512, None] != other[None, :]
             n_left[start:start + 512] = near.sum(axis=1)
             n_right += near.sum(axis=0)
@@ -393,7 +402,7 @@ def dense_components(rows: DataFrame, key: str, vector: str, eps: float,
         left, right = block[block["role"] == 0], block[block["role"] == 1]
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": []})
-        near = np.round(unit_rows(left["v"]) @ unit_rows(right["v"]).T, DIGITS) >= 1.0 - eps
+        near = cosines(unit_rows(left["v"]), unit_rows(right["v"])) >= 1.0 - eps
         ids, other = left["id"].to_numpy(), right["id"].to_numpy()
         label_l, label_r = ids.copy(), other.copy()
         top = np.iinfo(np.int64).max
