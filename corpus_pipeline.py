@@ -13,7 +13,7 @@ from faultsift.llm.lines import dedup_lines
 from faultsift.llm.mixing import mix_sources
 from faultsift.session import cut_lineage, new_folder
 
-#: Rows are told apart by id and text, so repeated and null ids do no harm.
+#: Rows are told apart by a number or by id and text, so repeated and null ids do no harm.
 _ROW, _FOUND = "_row", "_found"
 
 
@@ -32,10 +32,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; null ids stay."""
-    others = cut_lineage(jaccard_components(docs).where(
-        F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicate rows the one with the least id stays, of equal ids one of them.
+
+    Rows are judged by their texts alone, so rows that share an id, or have none, do not go with each other;
+    a row without words is a group of its own."""
+    rows = cut_lineage(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+    groups = cut_lineage(jaccard_components(rows, key=_ROW))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _ROW)).alias("first")
+    kept = rows.select(_ROW, "doc_id").join(groups, _ROW).groupBy("component_id").agg(order)
+    return rows.join(kept.select(f"first.{_ROW}"), _ROW, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
