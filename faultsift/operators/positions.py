@@ -9,12 +9,20 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage
 
 
-def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], name: str, split_equal: bool = False) -> DataFrame:
     """Add a number from 0 in the given total order.
 
     Rows are range-partitioned and numbered inside each part; each part starts where the
     sum of the parts before it ends. Only one row per part meets in one task.
+
+    With `split_equal`, rows that are equal in the order may be most of the table: rows are
+    written out with a number of their own that splits a range of equal ones, and the ranges are
+    sampled without a second run of what led to them.
     """
+    order = list(order)
+    if split_equal:
+        df = cut_lineage(df.withColumn("_tie", F.monotonically_increasing_id()))
+        order.append("_tie")
     parted = cut_lineage(
         df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     )
@@ -26,7 +34,7 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
         parted.withColumn("_row", F.row_number().over(inside) - 1)
         .join(F.broadcast(starts), "_part")          # one row per partition
         .withColumn(name, F.col("_start") + F.col("_row"))
-        .drop("_part", "_start", "_row")
+        .drop("_part", "_start", "_row", "_tie")
     )
 
 

@@ -22,6 +22,8 @@ from .tfidf import length_from, outline, prefix_of
 SPARSE_BLOCK_ROWS = 1024
 DENSE_BLOCK_ROWS = 4096
 LONG_LIST = 2000                       # vectors in one term list
+LEVELS = 8                             # steps of the length that is left, in long lists
+SLACK = 0.85                           # share of the bound down to which common terms are counted
 BROADCAST_VALUES = 16_000_000          # numbers in a broadcast matrix (128 MB of doubles)
 DIGITS = 12                            # scores equal to this many digits are ties
 
@@ -80,42 +82,61 @@ def _leader_pairs(prefixes: DataFrame) -> DataFrame:
     )
 
 
-def _cross_pairs(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b, shared): vectors that are not yet in one group but share a prefix term.
+def _cross_pairs(prefixes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(a, b, shared, behind): vectors not yet in one group that share prefix terms.
 
-    `shared` is the product over the common prefix terms. Short term lists are joined with
-    themselves. Long lists are first reduced to (term, group), so a list within one group,
-    however long, yields nothing.
+    `reach` is the length of a vector from a term on. A pair whose first common term is t has a
+    product of at most reach_a * reach_b at t, so a term list joins only rows whose reaches
+    allow it, down to `SLACK` times the bound. What that leaves out of a pair's common terms comes
+    after all that it keeps, as reaches only fall: `shared` is the exact product up to the last kept
+    term, and `behind` bounds what follows it. Short term lists are joined with themselves. Long
+    ones are first reduced to cells (term, group, level of reach), so a list within one group,
+    however long, yields nothing, and cells that are too far down never meet.
     """
+    level = F.floor(F.log("reach") / math.log(least) * LEVELS) if least < 1.0 else F.lit(0)
     placed = cut_lineage(
-        prefixes.join(groups, F.col("id") == F.col("node"), "left")
-        .select("id", "term", "weight", F.coalesce("component", "id").alias("grp")))
+        prefixes.join(groups, F.col("id") == F.col("node"), "left").select(
+            "id", "term", "weight", "reach", level.cast("int").alias("level"),
+            F.coalesce("component", "id").alias("grp")))
     sizes = placed.groupBy("term").agg(
         F.count("*").alias("n"), F.min("grp").alias("first"), F.max("grp").alias("last")
     ).where(F.col("first") < F.col("last"))            # lists with more than one group
+    enough = F.col("_ra") * F.col("_rb") >= SLACK * least
 
     def sides(kind: Column) -> tuple[DataFrame, DataFrame]:
         lists = placed.join(sizes.where(kind).select("term"), "term", "left_semi")
         return tuple(
-            lists.select("term", F.col("grp").alias(f"grp_{s}"), F.col("id").alias(s),
-                         F.col("weight").alias(f"_w{s}")) for s in ("a", "b"))
+            lists.select("term", F.col("grp").alias(f"grp_{s}"), F.col("level").alias(f"level_{s}"),
+                         F.col("id").alias(s), F.col("weight").alias(f"_w{s}"),
+                         F.col("reach").alias(f"_r{s}")) for s in ("a", "b"))
 
     left, right = sides(F.col("n") <= LONG_LIST)
-    short = left.join(right, "term").where(F.col("grp_a") < F.col("grp_b"))
+    short = left.join(right, "term").where((F.col("grp_a") < F.col("grp_b")) & enough)
     left, right = sides(F.col("n") > LONG_LIST)
-    group_pairs = left.select("term", "grp_a").distinct().join(
-        right.select("term", "grp_b").distinct(), "term").where(F.col("grp_a") < F.col("grp_b"))
-    long = group_pairs.join(left, ["term", "grp_a"]).join(right, ["term", "grp_b"])
-    both = short.select("a", "b", "_wa", "_wb").union(long.select("a", "b", "_wa", "_wb"))
-    return both.groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("shared"))
+    cells = [side.groupBy("term", f"grp_{s}", f"level_{s}").agg(F.max(f"_r{s}").alias(f"_r{s}"))
+             for s, side in (("a", left), ("b", right))]
+    met = cells[0].join(cells[1], "term").where((F.col("grp_a") < F.col("grp_b")) & enough)
+    long = (met.drop("_ra", "_rb").join(left, ["term", "grp_a", "level_a"])
+            .join(right, ["term", "grp_b", "level_b"]).where(enough))
+    columns = ["a", "b", "_wa", "_wb", "_ra", "_rb"]
+
+    def behind(s: str) -> Column:
+        square = F.col(f"_r{s}") * F.col(f"_r{s}") - F.col(f"_w{s}") * F.col(f"_w{s}")
+        return F.min(F.sqrt(F.greatest(square, F.lit(0.0)))).alias(f"_behind_{s}")
+
+    both = short.select(columns).union(long.select(columns)).groupBy("a", "b").agg(
+        F.sum(F.col("_wa") * F.col("_wb")).alias("shared"), behind("a"), behind("b"))
+    behind_both = F.col("_behind_a") * F.col("_behind_b")
+    return both.where(F.col("shared") + behind_both >= least - 1e-9).select(
+        "a", "b", "shared", behind_both.alias("behind"))
 
 
 def _possible(pairs: DataFrame, outlines: DataFrame, least: float) -> DataFrame:
     """Candidates that can still reach the bound.
 
-    Up to the end of the shorter prefix (in the global order of terms) `shared` is the exact
-    product. What follows is at most the length of that vector's rest times the length of the
-    other vector beyond the same place.
+    If all common terms were counted up to the end of the shorter prefix (in the global order of
+    terms), what follows is at most the length of that vector's rest times the length of the other
+    vector beyond the same place. If not, it is below `SLACK` times the bound.
     """
     def side(name: str) -> DataFrame:
         return outlines.select(F.col("id").alias(name), F.col("rest").alias(f"_rest_{name}"),
@@ -131,7 +152,8 @@ def _possible(pairs: DataFrame, outlines: DataFrame, least: float) -> DataFrame:
     )
     return (
         pairs.join(side("a"), "a").join(side("b"), "b")
-        .where(F.col("shared") + beyond >= least - 1e-9).select("a", "b")
+        .where(F.col("shared") + F.least("behind", F.greatest(beyond, F.lit(SLACK * least))) >= least - 1e-9)
+        .select("a", "b")
     )
 
 
@@ -147,7 +169,7 @@ def similar_components(postings: DataFrame, least: float) -> DataFrame:
     outlines = cut_lineage(outline(postings, prefixes, "id"))
     by_leader = _verified(_leader_pairs(prefixes), vectors, least)
     groups = connected_components(by_leader, "a", "b")
-    candidates = _possible(cut_lineage(_cross_pairs(prefixes, groups)), outlines, least)
+    candidates = _possible(cut_lineage(_cross_pairs(prefixes, groups, least)), outlines, least)
     across = _verified(candidates, vectors, least)
     links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return connected_components(across.select("a", "b").union(links), "a", "b")

@@ -62,7 +62,7 @@ def term_vectors(messages: DataFrame, key: str, text: str, stop_words: list[str]
     """The same with `term` as a number: terms are numbered from the rarest on, so comparing
     and joining terms is done on integers. Written out once."""
     counts = cut_lineage(term_counts(messages, key, text, stop_words))
-    numbered = number_rows(document_frequency(counts), ["df", "term"], "number")
+    numbered = number_rows(document_frequency(counts), ["df", "term"], "number", split_equal=True)
     weighted = _weighted(counts, numbered, messages, key, "number")
     return cut_lineage(weighted.withColumnRenamed("number", "term"))
 
@@ -80,7 +80,8 @@ def _weighted(counts: DataFrame, frequency: DataFrame, messages: DataFrame, key:
 
 
 def prefix_of(postings: DataFrame, key: str, least: float) -> DataFrame:
-    """The rarest terms of every unit vector that any partner with cosine >= least must share.
+    """The rarest terms of every unit vector that any partner with cosine >= least must share,
+    with `reach`, the length of the vector from the term on.
 
     Terms are taken by their number (rare first) until the rest of the vector is shorter
     than `least`. If two vectors shared no prefix term, all their common terms would lie in
@@ -89,8 +90,9 @@ def prefix_of(postings: DataFrame, key: str, least: float) -> DataFrame:
     rare_first = (Window.partitionBy(key).orderBy("term")
                   .rowsBetween(Window.unboundedPreceding, -1))
     before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare_first), F.lit(0.0))
+    reach = F.sqrt(F.greatest(1.0 - F.col("_before"), F.lit(0.0)))
     return postings.withColumn("_before", before).where(
-        F.col("_before") <= 1.0 - least * least + 1e-9).drop("_before")
+        F.col("_before") <= 1.0 - least * least + 1e-9).withColumn("reach", reach).drop("_before")
 
 
 def _level(df: Column) -> Column:
