@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from faultsift.operators import aggregates, clusters, similarity
 from faultsift.operators.tfidf import distinct_messages, term_vectors, tfidf
+from faultsift.plans.anchor_index import fit_anchors, predict_from_index
 from faultsift.plans.predict import predict_messages, threshold_item, union_predictions
 from faultsift.plans.records import error_messages
-from faultsift.session import cut_lineage
+from faultsift.session import cut_lineage, new_folder
 
 from . import fixtures as fx
 from .registry import query
@@ -208,3 +209,11 @@ UNION ALL SELECT ord, TestName, Owner, WorkItemId, TRUE FROM messages WHERE HasI
 def predict_query(spark, folder):
     messages = error_messages(fx.message_records(spark, folder), ["doc_id"])
     return predict_messages(messages, 0.3, stop_words=fx.STOP_WORDS)
+
+
+@query("predict_from_anchors", f"WITH {fx.FIXED_ANCHOR_SQL} SELECT * FROM predicted")
+def predict_from_anchors_query(spark, folder):
+    messages = cut_lineage(error_messages(fx.message_records(spark, folder), ["doc_id"]))
+    index = new_folder(spark, "anchors")
+    fit_anchors(messages.where("HasInvestigation"), index, fx.STOP_WORDS)
+    return predict_from_index(index, messages.where("NOT HasInvestigation"), 0.3)

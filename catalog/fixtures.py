@@ -198,6 +198,27 @@ vec AS (SELECT id, term, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) A
 """
 
 
+# Messages without an investigation, and the best of the anchors by the anchors' own idf.
+FIXED_ANCHOR_SQL = f"""{MESSAGE_SQL},
+anchors AS (SELECT * FROM messages WHERE HasInvestigation),
+{tfidf_sql('anchors', 'ord', 'Message')},
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM anchors)) / (1.0 + df)) + 1.0 AS idf FROM df),
+open_words AS (SELECT ord AS id, unnest(string_split({NORMALIZE_SQL.format('Message')}, ' ')) AS term
+               FROM messages WHERE NOT HasInvestigation),
+open_raw AS (SELECT id, w.term, count(*) * any_value(idf) AS raw
+             FROM open_words w JOIN idf ON w.term = idf.term GROUP BY id, w.term),
+open_vec AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM open_raw),
+best AS (
+  SELECT x.id AS ord, a.WorkItemId, row_number() OVER (PARTITION BY x.id
+           ORDER BY round(sum(x.weight * y.weight), 12) DESC, a.ord) AS rn
+  FROM open_vec x JOIN vec y ON y.term = x.term JOIN anchors a ON a.ord = y.id
+  GROUP BY x.id, a.ord, a.WorkItemId HAVING round(sum(x.weight * y.weight), 12) >= 0.7),
+predicted AS (
+  SELECT m.ord, TestName, Owner, coalesce(best.WorkItemId, '-') AS PredictedWorkItemId
+  FROM messages m LEFT JOIN best ON best.ord = m.ord AND rn = 1 WHERE NOT HasInvestigation)
+"""
+
+
 # --- sheets -------------------------------------------------------------------------------
 
 # Texts that make a document fall under each pattern; document i gets text i % 23.

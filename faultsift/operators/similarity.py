@@ -42,8 +42,9 @@ def as_vectors(postings: DataFrame) -> DataFrame:
         "id", F.col("_v.term").alias("terms"), F.col("_v.weight").alias("weights"))
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose full cosine reaches the bound.
+def _verified(pairs: DataFrame, vectors: DataFrame, least: float,
+              others: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) whose full cosine reaches the bound; b is of the others, if there are any.
 
     The pairs are written out first, so the joins are planned with their true number.
     """
@@ -58,11 +59,12 @@ def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
                 scores[row] = va[place[hit]] @ vb[hit]
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "score": scores})
 
-    def side(name: str) -> DataFrame:
+    def side(name: str, vectors: DataFrame) -> DataFrame:
         return vectors.select(F.col("id").alias(name), F.col("terms").alias(f"_t{name}"),
                               F.col("weights").alias(f"_v{name}"))
 
-    both = cut_lineage(pairs.select("a", "b")).join(side("a"), "a").join(side("b"), "b")
+    both = cut_lineage(pairs.select("a", "b")).join(side("a", vectors), "a").join(
+        side("b", vectors if others is None else others), "b")
     return both.select("a", "b", "_ta", "_va", "_tb", "_vb").mapInPandas(
         products, "a BIGINT, b BIGINT, score DOUBLE").where(F.round("score", DIGITS) >= least)
 
@@ -119,26 +121,31 @@ def _cross_pairs(prefixes: DataFrame, groups: DataFrame, least: float) -> DataFr
     long = (met.drop("_ra", "_rb").join(left, ["term", "grp_a", "level_a"])
             .join(right, ["term", "grp_b", "level_b"]).where(enough))
     columns = ["a", "b", "_wa", "_wb", "_ra", "_rb"]
+    return _counted(short.select(columns).union(long.select(columns)), least)
 
+
+def _counted(met: DataFrame, least: float) -> DataFrame:
+    """(a, b, shared, behind) of rows that met in term lists, if the pair can reach the bound."""
     def behind(s: str) -> Column:
         square = F.col(f"_r{s}") * F.col(f"_r{s}") - F.col(f"_w{s}") * F.col(f"_w{s}")
         return F.min(F.sqrt(F.greatest(square, F.lit(0.0)))).alias(f"_behind_{s}")
 
-    both = short.select(columns).union(long.select(columns)).groupBy("a", "b").agg(
+    both = met.groupBy("a", "b").agg(
         F.sum(F.col("_wa") * F.col("_wb")).alias("shared"), behind("a"), behind("b"))
     behind_both = F.col("_behind_a") * F.col("_behind_b")
     return both.where(F.col("shared") + behind_both >= least - 1e-9).select(
         "a", "b", "shared", behind_both.alias("behind"))
 
 
-def _possible(pairs: DataFrame, outlines: DataFrame, least: float) -> DataFrame:
-    """Candidates that can still reach the bound.
+def _possible(pairs: DataFrame, outlines: DataFrame, least: float,
+              others: DataFrame | None = None) -> DataFrame:
+    """Candidates that can still reach the bound; outlines of b are the others, if there are any.
 
     If all common terms were counted up to the end of the shorter prefix (in the global order of
     terms), what follows is at most the length of that vector's rest times the length of the other
     vector beyond the same place. If not, it is below `SLACK` times the bound.
     """
-    def side(name: str) -> DataFrame:
+    def side(name: str, outlines: DataFrame) -> DataFrame:
         return outlines.select(F.col("id").alias(name), F.col("rest").alias(f"_rest_{name}"),
                                F.col("end").alias(f"_end_{name}"),
                                F.col("spread").alias(f"_spread_{name}"))
@@ -151,7 +158,8 @@ def _possible(pairs: DataFrame, outlines: DataFrame, least: float) -> DataFrame:
         .otherwise(F.greatest(a_first, b_first))
     )
     return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
+        pairs.join(side("a", outlines), "a")
+        .join(side("b", outlines if others is None else others), "b")
         .where(F.col("shared") + F.least("behind", F.greatest(beyond, F.lit(SLACK * least))) >= least - 1e-9)
         .select("a", "b")
     )
@@ -175,6 +183,38 @@ def similar_components(postings: DataFrame, least: float) -> DataFrame:
     return connected_components(across.select("a", "b").union(links), "a", "b")
 
 
+def best_anchor(targets: DataFrame, anchors: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(id, score, anchor): of each target the anchor with the largest cosine of at least `least`;
+    the lowest anchor id wins ties. Targets that share no term with an anchor have no row.
+
+    Both sides are postings (id, term, df, weight, reach) of unit vectors over one numbering of terms,
+    `vectors` the anchors' as arrays. Only targets and anchors meet. With a bound of 0 or less all pairs
+    that share a term count, and their products are summed as they are."""
+    def rows(postings: DataFrame, s: str) -> DataFrame:
+        return postings.select("term", F.col("id").alias(s), F.col("weight").alias(f"_w{s}"),
+                               F.col("reach").alias(f"_r{s}"))
+
+    if least <= 0.0:
+        scored = rows(targets, "a").join(rows(anchors, "b"), "term").groupBy("a", "b").agg(
+            F.sum(F.col("_wa") * F.col("_wb")).alias("score"))
+    else:
+        _check(least)
+        in_prefix = F.col("reach") * F.col("reach") >= least * least - 1e-9
+        sides = [targets.where(in_prefix), anchors.where(in_prefix)]
+        met = rows(sides[0], "a").join(rows(sides[1], "b"), "term").where(
+            F.col("_ra") * F.col("_rb") >= SLACK * least)
+        pairs = cut_lineage(_counted(met, least))
+        wanted = pairs.select(F.col("b").alias("id")).distinct()
+        outlines = [outline(targets, sides[0], "id"),
+                    outline(anchors.join(wanted, "id", "left_semi"),
+                            sides[1].join(wanted, "id", "left_semi"), "id")]
+        scored = _verified(_possible(pairs, outlines[0], least, outlines[1]),
+                           as_vectors(targets), least, vectors)
+    best = F.max(F.struct(F.round("score", DIGITS).alias("score"), (-F.col("b")).alias("_b"))).alias("_best")
+    return scored.groupBy(F.col("a").alias("id")).agg(best).select(
+        "id", F.col("_best.score").alias("score"), (-F.col("_best._b")).alias("anchor"))
+
+
 # --- sparse: best partner inside each part ---------------------------------------------
 
 def block_copies(vectors: DataFrame, block_rows: int) -> DataFrame:

@@ -79,6 +79,15 @@ def _weighted(counts: DataFrame, frequency: DataFrame, messages: DataFrame, key:
     return raw.select(key, term, "df", (F.col("raw") / length).alias("weight"))
 
 
+def weigh(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, term, df, weight): unit vectors of term counts by a fitted table (term, number, df, idf).
+
+    `term` is the number. Terms that are not in the table are left out."""
+    raw = counts.join(terms, "term").withColumn("_raw", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
+    return raw.select(key, F.col("number").alias("term"), "df", (F.col("_raw") / length).alias("weight"))
+
+
 def prefix_of(postings: DataFrame, key: str, least: float) -> DataFrame:
     """The rarest terms of every unit vector that any partner with cosine >= least must share,
     with `reach`, the length of the vector from the term on.
