@@ -97,6 +97,24 @@ def dbscan_vectors_query(spark, folder):
         fx.table(spark, folder, "embeddings"), "vec_id", "embedding", 0.6)
 
 
+@query("dbscan_vectors_core", """
+WITH RECURSIVE near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id
+  OR list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 1 - 0.6),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 4),
+edges AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+root AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
+member AS (SELECT n.a AS id, min(r.root) AS root FROM near n JOIN root r ON n.b = r.id
+           WHERE n.a NOT IN (SELECT id FROM core) GROUP BY n.a UNION ALL SELECT id, root FROM root),
+numbered AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS ClusterId FROM (SELECT DISTINCT root FROM root))
+SELECT e.vec_id, CAST(coalesce(n.ClusterId, -1) AS INTEGER) AS ClusterId
+FROM embeddings e LEFT JOIN member m ON e.vec_id = m.id LEFT JOIN numbered n ON n.root = m.root""")
+def dbscan_vectors_core_query(spark, folder):
+    return clusters.dbscan_vectors(
+        fx.table(spark, folder, "embeddings"), "vec_id", "embedding", 0.6, min_samples=4)
+
+
 # --- messages -----------------------------------------------------------------------------
 
 # Pairs of messages by TF-IDF cosine; distinct texts are compared once.

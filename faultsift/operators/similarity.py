@@ -453,6 +453,21 @@ def neighbour_counts(rows: DataFrame, key: str, vector: str, eps: float,
     return counts.groupBy(F.col("id").alias(key)).agg(F.sum("n").alias("n_neighbors"))
 
 
+def spanning_edges(near: np.ndarray, ids: np.ndarray, other: np.ndarray) -> pd.DataFrame:
+    """(a, b): edges that connect what a matrix of near rows connects, at most one per row."""
+    label_l, label_r = ids.copy(), other.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        new_r = np.minimum(label_r, np.where(near, label_l[:, None], top).min(axis=0))
+        new_l = np.minimum(label_l, np.where(near, new_r[None, :], top).min(axis=1))
+        if (new_r == label_r).all() and (new_l == label_l).all():
+            break
+        label_l, label_r = new_l, new_r
+    edges = pd.DataFrame({"a": np.concatenate([label_l, label_r]),
+                          "b": np.concatenate([ids, other])})
+    return edges[edges["a"] != edges["b"]].drop_duplicates()
+
+
 def dense_components(rows: DataFrame, key: str, vector: str, eps: float,
                      block_rows: int = DENSE_BLOCK_ROWS) -> DataFrame:
     """(node, component) of the graph that links vectors within cosine distance eps.
@@ -465,18 +480,7 @@ def dense_components(rows: DataFrame, key: str, vector: str, eps: float,
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": []})
         near = cosines(unit_rows(left["v"]), unit_rows(right["v"])) >= 1.0 - eps
-        ids, other = left["id"].to_numpy(), right["id"].to_numpy()
-        label_l, label_r = ids.copy(), other.copy()
-        top = np.iinfo(np.int64).max
-        while True:
-            new_r = np.minimum(label_r, np.where(near, label_l[:, None], top).min(axis=0))
-            new_l = np.minimum(label_l, np.where(near, new_r[None, :], top).min(axis=1))
-            if (new_r == label_r).all() and (new_l == label_l).all():
-                break
-            label_l, label_r = new_l, new_r
-        edges = pd.DataFrame({"a": np.concatenate([label_l, label_r]),
-                              "b": np.concatenate([ids, other])})
-        return edges[edges["a"] != edges["b"]].drop_duplicates()
+        return spanning_edges(near, left["id"].to_numpy(), right["id"].to_numpy())
 
     edges = _block_pairs(rows, key, vector, block_rows).groupBy("i", "j").applyInPandas(
         forest, "a BIGINT, b BIGINT")
