@@ -189,6 +189,13 @@ def _(spark, folder):
     return aggregates.cluster_investigations(_members(spark, folder))
 
 
+@query("investigated_members", f"""WITH RECURSIVE {MEMBER_SQL}
+SELECT ClusterId, ord, TestName, InvestigationReport, WorkItemId FROM members
+WHERE HasInvestigation AND ClusterId >= 0""")
+def _(spark, folder):
+    return aggregates.investigated_members(_members(spark, folder))
+
+
 @query("unmerged_summary", f"""WITH RECURSIVE {MEMBER_SQL}
 SELECT ClusterId, ord, TestName, Owner, InvestigationReport, WorkItemId FROM members""")
 def _(spark, folder):

@@ -88,43 +88,40 @@ def _(spark, folder):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", item.alias("item"))
 
 
-BASE, SPACE = "https://reports.example.org/ErrorReport/Product/", "WebFilters.TestResults"
-STATUS = (f"MatchType%3DAll%26Filter0%3DType%3A{SPACE}.Filters.InvestigationStatusFilter"
-          "%2COperator%3AEQUAL%2CValue%3A")
-TAIL = "&officialOnly=False&chronicFailureThreshold=0&noCache=False&showNonChronicFailures=true"
+BASE = "https://reports.example.org/tests/"
+STATUS = "MatchType%3DAll%26Filter0%3DType%3AInvestigationStatus%2COperator%3AEQUAL%2CValue%3A"
 
 
 @query("report_link", f"""
-SELECT o_orderkey, '{BASE}90?applicationId=-1&platformId=' || o_custkey % 3 || '&releaseId='
+SELECT o_orderkey, '{BASE}7?applicationId=-1&platformId='
+       || CASE WHEN o_custkey % 3 = 0 THEN 4 ELSE o_custkey % 3 END || '&releaseId='
        || year(o_orderdate) || '&allPackages=True&filterCollection={STATUS}'
-       || CASE WHEN o_orderstatus = 'F' THEN 'HAS_INVESTIGATION' ELSE 'NO_INVESTIGATION' END
+       || CASE WHEN o_orderstatus = 'O' THEN 'NO_INVESTIGATION' ELSE 'HAS_INVESTIGATION' END
        || CASE WHEN o_orderstatus = 'P' THEN '' ELSE
-          '%26Filter1%3DType%3A{SPACE}.Filters.OwnerFilter%2COperator%3AEQUAL%2CValue%3A'
-          || o_orderpriority END
-       || '&highlighterCollection=MatchType%3DAll{TAIL}' AS link
+          '%26Filter1%3DType%3AOwner%2COperator%3AEQUAL%2CValue%3A' || o_orderpriority END
+       || '&highlighterCollection=MatchType%3DAll&noCache=False' AS link
 FROM orders""")
 def _(spark, folder):
-    owner = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
-    link = links.report_link(f"{BASE}90", SPACE, F.col("o_orderstatus") == "F", owner,
-                             F.col("o_custkey") % 3, F.year("o_orderdate"))
+    """Partly filled orders have neither flag nor owner; some have no platform."""
+    page = links.ReportPage(f"{BASE}7", tail="&noCache=False", platform="4")
+    known = F.col("o_orderstatus") != "P"
+    link = links.report_link(
+        page, F.when(known, F.col("o_orderstatus") == "F"), F.when(known, F.col("o_orderpriority")),
+        F.nullif(F.col("o_custkey") % 3, F.lit(0)), F.year("o_orderdate"))
     return fx.table(spark, folder, "orders").select("o_orderkey", link.alias("link"))
 
 
-NAME_FILTER = (f"MatchType%3DAll%26Filter0%3DType%3A{SPACE}.Filters.TestNameFilter"
-               "%2COperator%3ACONTAINS%2CValue%3A")
-AGE = (f"MatchType%3DAll%26Filter0%3DType%3A{SPACE}.Highlighters.RunAgeHighlighter"
-       "%2COperator%3AGREATER_THAN_OR_EQUAL%2CValue%3A7")
-
-
 @query("test_link", f"""
-SELECT doc_id, '{BASE}72?applicationId=-1&platformId=1&releaseId=' || n_chars
-       || '&allPackages=True&filterCollection={NAME_FILTER}'
+SELECT doc_id, '{BASE}5?applicationId=-1&platformId=1&releaseId=' || n_chars
+       || '&allPackages=True&filterCollection=MatchType%3DAll%26Filter0%3DType%3ATestName'
+       || '%2COperator%3ACONTAINS%2CValue%3A'
        || replace(replace(replace(replace(replace(url_encode(text), '%21', '!'), '%27', ''''),
           '%28', '('), '%29', ')'), '%2A', '*')
-       || '&highlighterCollection={AGE}{TAIL}' AS link
+       || '&highlighterCollection=MatchType%3DAll%26Filter0%3DType%3ARunAge' AS link
 FROM documents""")
 def _(spark, folder):
-    link = links.test_link(BASE, SPACE, F.col("text"), F.lit(72), F.lit(1), F.col("n_chars"))
+    page = links.ReportPage(BASE, highlighters="MatchType%3DAll%26Filter0%3DType%3ARunAge")
+    link = links.test_link(page, F.col("text"), F.lit(5), F.lit(None), F.col("n_chars"))
     return _docs(spark, folder).select("doc_id", link.alias("link"))
 
 

@@ -1,14 +1,35 @@
-"""Link columns. Hosts and ids are parameters; nothing is called."""
+"""Link columns. Hosts, ids and filter names are parameters; nothing is called."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Parameters the report page expects besides the filters.
-FILTERS = "MatchType%3DAll%26Filter0%3DType%3A"
-AGE_HIGHLIGHTER = ".Highlighters.RunAgeHighlighter%2COperator%3AGREATER_THAN_OR_EQUAL%2CValue%3A7"
-PAGE_TAIL = "&officialOnly=False&chronicFailureThreshold=0&noCache=False&showNonChronicFailures=true"
+
+@dataclass(frozen=True)
+class ReportPage:
+    """A report page: its address, the names of its filters, and what stands for missing values."""
+
+    base: str
+    status_filter: str = "InvestigationStatus"
+    owner_filter: str = "Owner"
+    name_filter: str = "TestName"
+    status_values: tuple[str, str] = ("HAS_INVESTIGATION", "NO_INVESTIGATION")
+    highlighters: str = "MatchType%3DAll"
+    tail: str = ""
+    application: str = "-1"
+    platform: str = "1"
+    release: str = "1"
+
+
+def _or(value: Column | None, default: str) -> Column:
+    """The value as text, or the default where it is null or empty."""
+    if value is None:
+        return F.lit(default)
+    text = value.cast("string")
+    return F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(F.lit(default))
 
 
 def encode_component(text: Column) -> Column:
@@ -20,39 +41,41 @@ def encode_component(text: Column) -> Column:
     return encoded
 
 
-def report_link(base: str, namespace: str, has_investigation: Column, owner: Column,
-                platform_id: Column, release_id: Column, application_id: Column | None = None,
-                ) -> Column:
-    """Report page filtered by investigation status and, if given, by owner."""
-    status = F.when(has_investigation, "HAS_INVESTIGATION").otherwise("NO_INVESTIGATION")
-    by_owner = F.concat(
-        F.lit(f"%26Filter1%3DType%3A{namespace}.Filters.OwnerFilter"
-              "%2COperator%3AEQUAL%2CValue%3A"), owner)
-    application = F.lit("-1") if application_id is None else application_id.cast("string")
+def _page(page: ReportPage, product: Column | None, application: Column | None, platform: Column | None,
+          release: Column | None, filters: Column) -> Column:
     return F.concat(
-        F.lit(f"{base}?applicationId="), application,
-        F.lit("&platformId="), platform_id.cast("string"),
-        F.lit("&releaseId="), release_id.cast("string"),
-        F.lit(f"&allPackages=True&filterCollection={FILTERS}{namespace}"
-              ".Filters.InvestigationStatusFilter%2COperator%3AEQUAL%2CValue%3A"),
-        status,
-        F.when(F.coalesce(owner, F.lit("")) != "", by_owner).otherwise(""),
-        F.lit(f"&highlighterCollection=MatchType%3DAll{PAGE_TAIL}"),
+        F.lit(page.base), F.lit("") if product is None else product.cast("string"),
+        F.lit("?applicationId="), _or(application, page.application),
+        F.lit("&platformId="), _or(platform, page.platform),
+        F.lit("&releaseId="), _or(release, page.release),
+        F.lit("&allPackages=True&filterCollection=MatchType%3DAll"), filters,
+        F.lit(f"&highlighterCollection={page.highlighters}{page.tail}"),
     )
 
 
-def test_link(base: str, namespace: str, test_name: Column, product_id: Column,
-              platform_id: Column, release_id: Column) -> Column:
-    """Report page of the tests whose name contains the given one."""
-    return F.concat(
-        F.lit(base), product_id.cast("string"),
-        F.lit("?applicationId=-1&platformId="), platform_id.cast("string"),
-        F.lit("&releaseId="), release_id.cast("string"),
-        F.lit(f"&allPackages=True&filterCollection={FILTERS}{namespace}"
-              ".Filters.TestNameFilter%2COperator%3ACONTAINS%2CValue%3A"),
-        encode_component(test_name),
-        F.lit(f"&highlighterCollection={FILTERS}{namespace}{AGE_HIGHLIGHTER}{PAGE_TAIL}"),
-    )
+def _filter(place: int, name: str, operator: str, value: Column) -> Column:
+    return F.concat(F.lit(f"%26Filter{place}%3DType%3A{name}%2COperator%3A{operator}%2CValue%3A"), value)
+
+
+def report_link(page: ReportPage, has_investigation: Column, owner: Column, platform_id: Column,
+                release_id: Column, application_id: Column | None = None) -> Column:
+    """Report page filtered by investigation status and, if given, by owner.
+
+    A null flag asks for investigated tests; null or empty ids take the page's defaults."""
+    status = F.when(F.coalesce(has_investigation, F.lit(True)), page.status_values[0]).otherwise(
+        page.status_values[1])
+    by_owner = F.when(F.coalesce(owner, F.lit("")) != "", _filter(1, page.owner_filter, "EQUAL", owner)).otherwise("")
+    return _page(page, None, application_id, platform_id, release_id,
+                 F.concat(_filter(0, page.status_filter, "EQUAL", status), by_owner))
+
+
+def test_link(page: ReportPage, test_name: Column, product_id: Column, platform_id: Column,
+              release_id: Column) -> Column:
+    """Report page of the tests whose name contains the given one; of a null name, of all tests.
+
+    The link is null where the product is; null or empty platforms and releases take the defaults."""
+    name = _filter(0, page.name_filter, "CONTAINS", encode_component(F.coalesce(test_name, F.lit(""))))
+    return _page(page, product_id, None, platform_id, release_id, name)
 
 
 def workitem_link(base: str, work_item: Column) -> Column:

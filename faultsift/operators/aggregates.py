@@ -90,6 +90,14 @@ def cluster_investigations(members: DataFrame) -> DataFrame:
     ).withColumn("has_investigation", F.col("investigated") > 0)
 
 
+def investigated_members(members: DataFrame) -> DataFrame:
+    """One row per investigated member of a cluster: ClusterId, ord, TestName, report and work item.
+
+    A long list stays rows, so a cluster of any size is spread over tasks. Noise has no rows."""
+    return members.where(F.col("HasInvestigation") & (F.col("ClusterId") >= 0)).select(
+        "ClusterId", "ord", "TestName", "InvestigationReport", "WorkItemId")
+
+
 SUMMARY = ["TestName", "Owner", "InvestigationReport", "WorkItemId"]
 
 

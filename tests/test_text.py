@@ -71,3 +71,13 @@ def test_dialogue(spark):
 def test_links(spark):
     assert value(spark, links.encode_component(F.col("c")), c="a b/ü!'()~*+&") == \
         "a%20b%2F%C3%BC!'()~*%2B%26"
+
+
+def test_links_of_missing_values(spark):
+    page = links.ReportPage("http://r/1", platform="4", release="9")
+    none = F.lit(None).cast("string")
+    got = value(spark, links.report_link(page, none.cast("boolean"), none, none, none, F.lit("")), c="")
+    assert got == ("http://r/1?applicationId=-1&platformId=4&releaseId=9&allPackages=True&filterCollection="
+                   "MatchType%3DAll%26Filter0%3DType%3AInvestigationStatus%2COperator%3AEQUAL%2CValue%3A"
+                   "HAS_INVESTIGATION&highlighterCollection=MatchType%3DAll")
+    assert value(spark, links.test_link(page, none, F.lit(1), none, none), c="").startswith("http://r/11?")

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from faultsift.sources.sheet import read_sheet
 from faultsift.operators import similarity
 from faultsift.sources import failure_json
 
@@ -53,3 +54,17 @@ def test_blocks_of_null_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, None)], "id LONG, v ARRAY<DOUBLE>")
     counts = similarity.neighbour_counts(rows, "id", "v", 0.3, block_rows=1)
     assert {r["id"]: r["n_neighbors"] for r in counts.collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_sheets_with_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "some sheets"
+    folder.mkdir()
+    (folder / "a.csv").write_text('Test,Error\nt1,bang\n')
+    (folder / "b.csv").write_text('Error,Test\n"bang, loud",t2\n\n')
+    (folder / "c.tsv").write_text('"Test"\tOwner\nt3\tann\n')
+    (folder / "d.csv").write_text('Test,"Error, if any"\nt4,none\n')
+    (folder / "e.csv").write_text("")
+    rows = {r["Test"]: r.asDict() for r in read_sheet(spark, str(folder)).collect()}
+    assert sorted(rows) == ["t1", "t2", "t3", "t4"]
+    assert rows["t1"]["Error"] == "bang" and rows["t2"]["Error"] == "bang, loud"
+    assert rows["t3"]["Owner"] == "ann" and rows["t4"]["Error, if any"] == "none"
