@@ -6,10 +6,10 @@ sets list all pairs (k = 2) of that prefix, so only small sets that share a pair
 small ones near them in size, put single shingles (k = 1) in inverted lists that are scanned. The
 boundary is where the counted rows of both ways cost least.
 
-Equal sets are one node. Lists are scanned twice: first neighbours in size are compared, which joins
-families of near copies; then only what is still in different components is compared. Shingles whose
-lists still hold many sets (passages that unrelated texts share) are moved to the end of the order, so
-prefixes avoid them; sets with too few other shingles keep the first order, so no link is lost.
+Equal sets are one node. Shingles are ordered from the rarest on, by counts over all documents in a
+table of fixed size: any order that depends on the shingle alone gives whole results, and this one keeps
+passages that unrelated texts share out of most prefixes. Families of near copies are joined first,
+through a few leaders of each long list; then lists are scanned for what is in different components.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,11 @@ from .common import Membership, WordHashes, as_text, blocks, encoded, mixed
 WIDTH = 5
 #: Similarity 100 * overlap >= 75 * union.
 PERCENT = 75
-#: Sets up to this size put their whole set in the lists, so that every boundary up to it is possible.
+#: The boundary is sought up to this size.
 SMALL = 64
+#: Shingles are counted in so many buckets, in so many rows: a fixed size, whatever the corpus.
+COUNT_BITS = 20
+CHUNKS = 16
 
 
 def shingle_sets(texts: list[str | None], hashes: WordHashes) -> list[np.ndarray]:
@@ -66,26 +70,80 @@ def prefix(n):
     return n - least_overlap(n) + 1
 
 
-def kept_head(n: int) -> int:
-    """Shingles kept of a set: its prefix, and more, so that some may be moved to the end."""
-    return n if n <= SMALL else min(n, prefix(n) + 32 + n // 16)
+def survey(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, n, print) of every row's set, and counts of shingles: rows with `chunk`, `part` and `counts`.
 
+    Each task counts its shingles in an array of fixed size, which comes out as rows of the same table."""
+    def make(batches):
+        hashes, counts = WordHashes(100_000), np.zeros(1 << COUNT_BITS, np.uint32)
+        for batch in batches:
+            for part in blocks(list(batch["_text"]), 1_000_000):
+                sets = shingle_sets(list(batch["_text"].iloc[part]), hashes)
+                counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
+                yield pd.DataFrame({
+                    "id": batch["_key"].iloc[part].array, "n": [len(s) for s in sets],
+                    "print": [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets],
+                    "chunk": -1, "part": -1, "counts": None})
+        if counts.any():
+            number = TaskContext.get().partitionId()
+            yield pd.DataFrame({"id": None, "n": 0, "print": None, "chunk": range(CHUNKS), "part": number,
+                                "counts": [c.astype(np.int64).tobytes() for c in np.split(counts, CHUNKS)]})
+
+    return _keyed(docs, key, text).mapInPandas(
+        make, "id string, n long, print binary, chunk int, part int, counts binary").withColumn(
+        "id", F.col("id").cast("long"))
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(as_text(docs[key].cast("long")).alias("_key"), docs[text].alias("_text"))
+
+
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def rarity_levels(counts: DataFrame, width: int = 64) -> np.ndarray:
+    """A level for every bucket of shingles, the higher the more its count stands out.
+
+    Counts of tasks are added `width` at a time in a tree, so that no task holds those of all."""
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, np.int64) for c in group["counts"])
+        return group[["chunk", "part"]].iloc[:1].assign(counts=[total.tobytes()])
+
+    parts = counts.agg(F.max("part")).first()[0]
+    while parts:
+        counts = cut_lineage(counts.withColumn("part", F.floor(F.col("part") / width).cast("int")).groupBy(
+            "chunk", "part").applyInPandas(add, "chunk int, part int, counts binary"))
+        parts //= width
+    chunks = {r["chunk"]: np.frombuffer(r["counts"], np.int64) for r in counts.collect()}
+    if not chunks:
+        return np.zeros(1 << COUNT_BITS, np.uint8)
+    total = np.concatenate([chunks[i] for i in range(CHUNKS)])
+    usual = float(np.median(total))
+    above = np.maximum(total - usual, 0) / (3 * np.sqrt(usual) + 2)
+    return np.minimum(np.ceil(2 * np.log2(np.maximum(above, 1))), 255).astype(np.uint8)
+
+
+def _heads(docs: DataFrame, key: str, text: str, levels: np.ndarray) -> DataFrame:
+    """(id, n, print, head, ends): of every row's set the shingles of its prefix and one more, rare ones
+    first, and where in the order of all shingles the prefix ends, to 31 bits."""
+    def ending(grams: np.ndarray) -> int:
+        return int(levels[_bucket(grams)][0]) << 23 | int(grams[0] >> np.uint64(41)) if len(grams) else 0
 
-def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, print, head): size, fingerprint and first shingles of every row's set."""
     def make(batches):
-        hashes = WordHashes()
+        hashes = WordHashes(100_000)
         for batch in batches:
-            for part in blocks(list(batch["_text"])):
+            for part in blocks(list(batch["_text"]), 1_000_000):
                 sets = shingle_sets(list(batch["_text"].iloc[part]), hashes)
+                heads = [s[np.argsort(levels[_bucket(s)], kind="stable")[:prefix(len(s)) + 1]] for s in sets]
                 yield pd.DataFrame({
                     "id": batch["_key"].iloc[part].array, "n": [len(s) for s in sets],
                     "print": [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets],
-                    "head": [s[:kept_head(len(s))].view(np.int64) for s in sets]})
+                    "head": [h.view(np.int64) for h in heads],
+                    "ends": [ending(h[:prefix(len(s))][-1:]) for h, s in zip(heads, sets, strict=True)]})
 
-    rows = docs.select(as_text(docs[key].cast("long")).alias("_key"), docs[text].alias("_text"))
-    return rows.mapInPandas(make, "id string, n long, print binary, head array<long>").withColumn(
-        "id", F.col("id").cast("long"))
+    return _keyed(docs, key, text).mapInPandas(
+        make, "id string, n long, print binary, head array<long>, ends int").withColumn("id", F.col("id").cast("long"))
 
 
 def choose_boundary(sets: DataFrame, scan_cost: float = 2.0) -> int:
@@ -102,49 +160,47 @@ def choose_boundary(sets: DataFrame, scan_cost: float = 2.0) -> int:
             if n <= boundary:
                 total += count * p * (p + 1) / 2
             if 100 * n >= PERCENT * (boundary + 1):
-                total += count * n * scan_cost
+                total += count * p * scan_cost
         return total
 
     return min(range(2, SMALL + 1), key=lambda b: (cost(b), b))
 
 
 def _postings(sets: DataFrame, boundary: int) -> DataFrame:
-    """(gram, small, id, pos, n): pairs of shingles of small sets, single shingles of the others."""
+    """(gram, small, id, pos, n, ends): pairs of shingles of small sets, single shingles of the others."""
     def make(batches):
         for batch in batches:
-            grams, ids, places, sizes, kinds = [], [], [], [], []
-            for key, n, head in zip(batch["id"], batch["n"], batch["head"], strict=True):
+            out, held = [], 0
+            for key, n, head, ends in zip(batch["id"], batch["n"], batch["head"], batch["ends"], strict=True):
                 head = np.asarray(head, np.int64).view(np.uint64)
                 if n < 3:
                     continue                       # only equal sets reach the similarity
-                found = []
                 if n <= boundary:
-                    first = head[:prefix(n) + 1]
-                    i, j = np.triu_indices(len(first), 1)
+                    i, j = np.triu_indices(len(head), 1)      # places in the one order, i before j
                     with np.errstate(over="ignore"):
-                        found.append((mixed(first[i] * np.uint64(3) + mixed(first[j])), -1, True))
+                        pairs = mixed(head[i] * np.uint64(3) + mixed(head[j]))
+                    out.append((pairs, True, key, n, ends))
                 if 100 * n >= PERCENT * (boundary + 1):
-                    found.append((head, 0, False))
-                for values, place, small in found:
-                    grams.append(values.view(np.int64))
-                    ids.append(np.full(len(values), key))
-                    places.append(np.arange(len(values)) if place == 0 else np.full(len(values), -1))
-                    sizes.append(np.full(len(values), n))
-                    kinds.append(np.full(len(values), small))
-                if sum(map(len, grams)) > 400_000:
-                    yield _frame(grams, ids, places, sizes, kinds)
-                    grams, ids, places, sizes, kinds = [], [], [], [], []
-            if grams:
-                yield _frame(grams, ids, places, sizes, kinds)
-
-    return sets.select("id", "n", "head").mapInPandas(
-        make, "gram long, small boolean, id long, pos int, n int")
-
-
-def _frame(grams, ids, places, sizes, kinds) -> pd.DataFrame:
+                    out.append((head[:prefix(n)], False, key, n, ends))
+                held += len(head) if n > boundary else len(head) ** 2
+                if held > 200_000:
+                    yield _frame(out)
+                    out, held = [], 0
+            if out:
+                yield _frame(out)
+
+    return sets.select("id", "n", "head", "ends").mapInPandas(
+        make, "gram long, small boolean, id long, pos int, n int, ends int")
+
+
+def _frame(lists: list[tuple]) -> pd.DataFrame:
+    sizes = [len(values) for values, *_ in lists]
+    column = lambda i, kind: np.repeat(np.array([x[i] for x in lists], kind), sizes)
     return pd.DataFrame({
-        "gram": np.concatenate(grams), "small": np.concatenate(kinds), "id": np.concatenate(ids),
-        "pos": np.concatenate(places).astype(np.int32), "n": np.concatenate(sizes).astype(np.int32)})
+        "gram": np.concatenate([x[0] for x in lists]).view(np.int64), "small": column(1, bool),
+        "id": column(2, np.int64), "n": column(3, np.int32), "ends": column(4, np.int32),
+        "pos": np.concatenate([np.full(k, -1) if x[1] else np.arange(k)
+                               for x, k in zip(lists, sizes, strict=True)]).astype(np.int32)})
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
@@ -185,28 +241,11 @@ def _possible(common: Column) -> Column:
     return (common + rest) * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("m"))
 
 
-def _pairs_across(rows: DataFrame, boundary: int, wanted: Column) -> DataFrame:
-    """Distinct (a, b) in different components that share enough of their prefixes.
+def _counted(met: DataFrame) -> DataFrame:
+    """Distinct (a, b) of (small, x, x_n, x_pos, y, y_n, y_pos) that share enough of their prefixes.
 
-    Rows are (gram, small, id, n, pos, component, main, short) of prefixes in one order; a pair of them
-    counts where `wanted` holds of `short` and `other_short`. Sets meet in classes of size, of which two
-    similar ones are the same or neighbours. Rows of a list's main (largest) component do not meet one
-    another. Shared grams are counted by pair; of small sets, shared pairs of shingles give the number
-    of shared shingles."""
-    size_class = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
-    left = rows.where(~F.col("main")).select(
-        "gram", "small", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"),
-        F.col("component").alias("x_component"), "short",
-        F.explode(F.array(size_class - 1, size_class, size_class + 1)).alias("class"))
-    right = rows.select(
-        "gram", "small", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"),
-        F.col("component").alias("y_component"), F.col("short").alias("other_short"), "main",
-        size_class.alias("class"))
-    meet = left.join(right, ["gram", "small", "class"])
-    sized = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT
-    handled = F.col("small") | (F.greatest("x_n", "y_n") > boundary)
-    once = F.col("main") | (F.col("x") < F.col("y"))
-    met = meet.where(sized & handled & once & wanted & (F.col("x_component") != F.col("y_component")))
+    Shared shingles are counted by pair; of small sets, the pairs of shingles that are shared give the
+    number of shared shingles."""
     # a pair meets as (x, y) in one list and as (y, x) in another, where the main component differs
     first = F.col("x") < F.col("y")
     either = lambda c, d, name: F.when(first, F.col(c)).otherwise(F.col(d)).alias(name)
@@ -221,67 +260,108 @@ def _pairs_across(rows: DataFrame, boundary: int, wanted: Column) -> DataFrame:
     return counted.where(_possible(common)).select("a", "b").distinct()
 
 
+def _pairs_across(rows: DataFrame, boundary: int) -> DataFrame:
+    """Distinct (a, b) in different components that share enough of their prefixes.
+
+    Rows are those of `_open_lists`. Sets meet in classes of size, of which two similar ones are the same
+    or neighbours. Rows of a list's main (largest) component do not meet one another. Whatever two sets
+    of different components share of the prefix that ends first is in open lists, so `reach`, that part
+    and what follows the prefix, bounds their overlap before a row is made."""
+    shared = rows.where(~F.col("small")).groupBy("id").agg(F.count(F.lit(1)).alias("_open"))
+    after = F.ceil(F.col("n") * PERCENT / 100) - 1          # shingles behind the prefix
+    rows = rows.join(shared, "id", "left").withColumn("reach", F.col("_open") + after).drop("_open")
+    size_class = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
+    side = lambda s: [F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in (
+        "n", "pos", "component", "ends", "reach"))]
+    left = rows.where(~F.col("main")).select(
+        "gram", "small", *side("x"), F.explode(F.array(size_class - 1, size_class, size_class + 1)).alias("class"))
+    right = rows.select("gram", "small", *side("y"), "main", size_class.alias("class"))
+    meet = left.join(right, ["gram", "small", "class"])
+    sized = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT
+    handled = F.col("small") | (F.greatest("x_n", "y_n") > boundary)
+    once = F.col("main") | (F.col("x") < F.col("y"))
+    reach = (F.when(F.col("x_ends") < F.col("y_ends"), F.col("x_reach"))
+             .when(F.col("x_ends") > F.col("y_ends"), F.col("y_reach")).otherwise(F.greatest("x_reach", "y_reach")))
+    enough = F.col("small") | (reach * (100 + PERCENT) >= PERCENT * (F.col("x_n") + F.col("y_n")))
+    return _counted(meet.where(
+        sized & handled & once & enough & (F.col("x_component") != F.col("y_component"))))
+
+
+def _with_leaders(crowded: DataFrame, turn: int, leaders: int) -> DataFrame:
+    """(a, b) of sets and leaders of their lists that share enough of their prefixes.
+
+    Leaders of a list are its sets with most rows in long lists (a text comes there before its changed
+    copies), so many next ones in each turn. A row of a list makes `leaders` rows."""
+    weights = crowded.groupBy("id").agg(F.sum("size").alias("weight"))
+    order = Window.partitionBy("gram", "small").orderBy(F.desc("weight"), "id")
+    ranked = crowded.join(weights, "id").withColumn("_rank", F.row_number().over(order)).where(
+        F.col("_rank") <= (turn + 1) * leaders)
+    chosen = ranked.where(F.col("_rank") > turn * leaders).select(
+        "gram", "small", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"),
+        F.col("component").alias("y_component"))
+    met = crowded.select(
+        "gram", "small", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"),
+        F.col("component").alias("x_component")).join(chosen, ["gram", "small"])
+    sized = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT
+    # two leaders meet twice in a list: their count is too high, which the exact comparison mends
+    return _counted(met.where(sized & (F.col("x_component") != F.col("y_component"))))
+
+
+def _open_lists(lists: DataFrame, families: DataFrame) -> DataFrame:
+    """Rows of lists that hold more than one component, with `component`, `main` for its largest one, and
+    `rest` and `size`, the list's rows outside that and all its rows."""
+    rows = lists.join(families, F.col("id") == F.col("node"), "left").drop("node")
+    rows = rows.withColumn("component", F.coalesce("component", "id"))
+    parts = rows.groupBy("gram", "small", "component").agg(F.count(F.lit(1)).alias("k"))
+    sizes = parts.groupBy("gram", "small").agg(
+        F.max(F.struct("k", "component")).alias("largest"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts"))
+    several = sizes.where(F.col("parts") > 1).select(
+        "gram", "small", F.col("largest.component").alias("main"), "size",
+        (F.col("size") - F.col("largest.k")).alias("rest"))
+    return cut_lineage(rows.join(several, ["gram", "small"]).withColumn("main", F.col("main") == F.col("component")))
+
+
 def jaccard_components(docs: DataFrame, heavy: int = 16, key: str = "doc_id",
-                       text: str = "text") -> DataFrame:
+                       text: str = "text", leaders: int = 4, turns: int = 2) -> DataFrame:
     """Per row: key, `n_shingles`, and `component_id`, the least key reachable by links.
 
     A document without words is linked with nothing and is its own component. A document of fewer
     than five words has its whole sequence as its one shingle. Rows that repeat a key are one
     document and share a component if one of their texts links. A null key gets a null component and
-    links nothing. Other columns are not read; an empty table gives an empty table."""
-    rows = cut_lineage(_documents(docs, key, text))
+    links nothing. Other columns are not read; an empty table gives an empty table. In up to
+    `turns` turns, sets of lists with more than `heavy` rows outside the largest component are compared
+    with so many `leaders`; these numbers change the work only, as all lists are scanned in the end."""
+    surveyed = cut_lineage(survey(docs, key, text))
+    levels = rarity_levels(surveyed.where(F.col("chunk") >= 0).select("chunk", "part", "counts"))
+    rows = surveyed.where(F.col("chunk") < 0).select("id", "n", "print")
     known = rows.where(F.col("id").isNotNull() & F.col("print").isNotNull())
     copies = cut_lineage(known.groupBy("print").agg(
         F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
     others = cut_lineage(known.select("id", "print").join(copies, "print").where(
         F.col("id") != F.col("first")).select("id", "print").distinct())
-    nodes = known.join(others, ["id", "print"], "left_anti")
-    boundary = choose_boundary(nodes)
+    boundary = choose_boundary(known.join(others, ["id", "print"], "left_anti"))
+    nodes = _heads(docs, key, text, levels).where(F.col("id").isNotNull() & F.col("print").isNotNull()).join(
+        others, ["id", "print"], "left_anti")
 
-    # rows of lists with more than one set, with the neighbour next below in size
+    # lists with more than one set
     order = Window.partitionBy("gram", "small").orderBy("n", "id")
     listed = _postings(nodes, boundary).withColumns({
-        "before": F.lag("id").over(order), "before_n": F.lag("n").over(order),
-        "after": F.lead("id").over(order)})
-    lists = cut_lineage(listed.where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("after"))
-    often = F.when(F.col("small"), 1).otherwise((F.col("n") - F.ceil(F.col("n") * PERCENT / 100)) / 4)
-    neighbours = cut_lineage(lists.where(
-        F.col("before").isNotNull() & (F.col("before") != F.col("id"))
-        & (100 * F.col("before_n") >= PERCENT * F.col("n")))
-        .groupBy("before", "id", "n", "small").agg(F.count(F.lit(1)).alias("k"))
-        .where(F.col("k") >= often)
-        .select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct())
-    links = cut_lineage(_verified(docs, neighbours, key, text))
-    families = cut_lineage(connected_components(links, "a", "b"))
-
-    # what is left: lists that hold more than one component
-    lists = lists.drop("before", "before_n").join(families, lists["id"] == families["node"], "left").drop("node")
-    lists = cut_lineage(lists.withColumn("component", F.coalesce("component", "id")))
-    parts = lists.groupBy("gram", "small", "component").agg(F.count(F.lit(1)).alias("k"))
-    sizes = parts.groupBy("gram", "small").agg(
-        F.max(F.struct("k", "component")).alias("largest"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts"))
-    open_lists = cut_lineage(sizes.where(F.col("parts") > 1).select(
-        "gram", "small", F.col("largest.component").alias("main"), (F.col("k") - F.col("largest.k")).alias("rest")))
-    rows_left = cut_lineage(lists.join(open_lists, ["gram", "small"]).withColumn(
-        "main", F.col("main") == F.col("component")))
-    crowded = ~F.col("small") & (F.col("rest") > heavy)
-
-    # each set's prefix when crowded shingles come last: it ends so many places later
-    p = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    kept = F.when(F.col("n") <= SMALL, F.col("n")).otherwise(
-        F.least("n", p + 32 + F.floor(F.col("n") / 16)))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1      # of at most `kept` rows
-    moved = rows_left.where(crowded).withColumn("_before", F.col("pos") - rank).where(
-        F.col("_before") < p).groupBy("id").agg(F.count(F.lit(1)).alias("moved"))
-    placed = cut_lineage(rows_left.join(moved, "id", "left").withColumn(
-        "moved", F.coalesce("moved", F.lit(0))).withColumns({
-            "crowded": crowded, "p": p, "short": (p + F.col("moved")) > kept}))
-    light = placed.where(~F.col("crowded") & (F.col("small") | (F.col("pos") < F.col("p") + F.col("moved"))))
-    light = light.withColumn("pos", F.lit(-1))             # places in the first order say nothing here
-    first_order = placed.where(~F.col("small") & (F.col("pos") < F.col("p")))
-    pairs = _pairs_across(light, boundary, F.lit(True)).union(
-        _pairs_across(first_order, boundary, F.col("short") | F.col("other_short"))).distinct()
-    pairs = cut_lineage(pairs)
+        "before": F.lag("id").over(order), "after": F.lead("id").over(order)})
+    lists = cut_lineage(listed.where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("before", "after"))
+
+    # families of near copies are joined through leaders of long lists; then only what lists still hold
+    # besides their largest component is compared with all of the list
+    links = lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    families = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for turn in range(turns):
+        left = _open_lists(lists, families)
+        near = cut_lineage(_with_leaders(left.where(F.col("rest") > heavy), turn, leaders))
+        found = None if near.isEmpty() else cut_lineage(_verified(docs, near, key, text))
+        if found is None or found.isEmpty():
+            break
+        links = links.union(found)
+        families = cut_lineage(connected_components(links, "a", "b"))
+    pairs = cut_lineage(_pairs_across(_open_lists(lists, families), boundary))
     more = _verified(docs, pairs, key, text)
     found = cut_lineage(connected_components(links.union(more), "a", "b"))
 
