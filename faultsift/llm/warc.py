@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, new_folder
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -71,15 +71,19 @@ def _field(head: Column, name: str) -> Column:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The parts of the files between magics, with their file, block and order."""
-    return spark.read.option("lineSep", MAGIC).text(path).select(
+    """The parts of the files between magics, with their file, block and order, as a written table.
+
+    How files are split depends on the cores of the moment, so one scan gives both the places and the bytes."""
+    pieces = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("value").cast("binary").alias("data"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    step = new_folder(spark, "step")
+    pieces.write.option("compression", "zstd").parquet(step)
+    return spark.read.schema(pieces.schema).parquet(step)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
+def candidates(pieces: DataFrame) -> DataFrame:
     """Every piece as a candidate record: offset, successor, header fields, digest of its own payload."""
-    pieces = _pieces(spark, path)
     head = F.substring_index(F.col("data").cast("string"), END, 1)
     pieces = pieces.select(
         "file", "block", "id", F.octet_length("data").alias("n"), "data", head.alias("head"),
@@ -160,12 +164,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     record magic; of revisits the header's are given. A file that does not start with a record gives
     none; a record that claims more than the file has ends its chain. No files give no rows.
     """
-    located = cut_lineage(_located(candidates(spark, path)))
+    pieces = _pieces(spark, path)
+    located = cut_lineage(_located(candidates(pieces)))
     records = cut_lineage(reachable(located))
     response = F.col("record_type") == "response"
     broken = cut_lineage(records.where(response & F.col("own_digest").isNull()).select(
         "file", "offset", "successor", "ordinal", "head_bytes", "length"))
-    joined = _joined_digests(spark, path, located, broken)
+    joined = _joined_digests(pieces, located, broken)
     records = records.join(joined, ["file", "offset"], "left").withColumn(
         "_digest", F.coalesce("own_digest", "joined_digest"))
     stated = F.regexp_replace("digest", "^sha1:", "")
@@ -177,7 +182,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         (~response | (F.col("_digest") == stated)).alias("digest_ok"))
 
 
-def _joined_digests(spark: SparkSession, path: str, located: DataFrame, broken: DataFrame) -> DataFrame:
+def _joined_digests(pieces: DataFrame, located: DataFrame, broken: DataFrame) -> DataFrame:
     """Digests of records whose payload holds the magic: their pieces are put together again.
 
     What one task holds is one record."""
@@ -189,8 +194,7 @@ def _joined_digests(spark: SparkSession, path: str, located: DataFrame, broken:
         "file", "offset", "head_bytes", "length", F.explode(F.sequence(
             "ordinal", F.coalesce("_next", F.col("_last") + 1) - 1)).alias("ordinal"))
     wanted = cut_lineage(spread.join(located.select("file", "ordinal", "id"), ["file", "ordinal"]))
-    pieces = _pieces(spark, path).select("id", F.col("data").cast("string").alias("data"))
-    whole = pieces.join(wanted, "id").groupBy("file", "offset", "head_bytes", "length").agg(
+    whole = pieces.select("id", F.col("data").cast("string").alias("data")).join(wanted, "id").groupBy("file", "offset", "head_bytes", "length").agg(
         F.sort_array(F.collect_list(F.struct("ordinal", "data"))).alias("parts"))
     data = F.array_join(F.col("parts.data"), MAGIC).cast("binary")
     start = (F.col("head_bytes") + len(HTTP) + 1).cast("int")
