@@ -2,10 +2,10 @@
 
 A source's share of the mix is met by copying its documents: each is taken floor(r) times, and once
 more with probability r - floor(r), where r is target over size. The extra copies are drawn by the
-pivotal method: two fractional probabilities meet and mass moves at random from one to the other
-until one of them is 0 or 1. Documents of a source meet in the order of their size. Chunks of a
-bounded number of documents are reduced by themselves; the one residual of each chunk goes up to
-the next level of the tree, until a source has one residual left.
+pivotal method: two fractional probabilities meet and mass, counted in words, moves at random from one to
+the other until one of them is 0 or 1. Documents of a source meet from the largest on, so that what is left
+over at the end is small. Chunks of a bounded number of documents are reduced by themselves; the one
+residual of each chunk goes up to the next level of the tree, until a source has one residual left.
 """
 
 from __future__ import annotations
@@ -49,44 +49,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
         F.least(F.col("_weight") * F.lit(float(level)), cap.cast("double")).alias("target"))
 
 
-# One meeting of the pivotal method: `x` is a unit, `s` the residual so far and the units that won.
-# With s.p + x.p below 1, one of the two gets the sum and the other 0; else one gets 1 and the other
-# the rest. The draw depends on the seed, the level and the two units alone.
-_MEETING = """
-    case when s.p = 0 then named_struct('pos', x.pos, 'p', x.p, 'won', s.won)
-         when s.p + x.p < {one}L then named_struct(
-             'pos', if({draw} * (s.p + x.p) < x.p * {one}L, x.pos, s.pos), 'p', s.p + x.p, 'won', s.won)
-         else if({draw} * (2 * {one}L - s.p - x.p) < ({one}L - x.p) * {one}L,
-             named_struct('pos', x.pos, 'p', s.p + x.p - {one}L, 'won', array_append(s.won, s.pos)),
-             named_struct('pos', s.pos, 'p', s.p + x.p - {one}L, 'won', array_append(s.won, x.pos)))
+# One meeting of the pivotal method: `x` is a unit, `s` the residual so far and the units that won. Of a
+# unit's words, `f`, the mass `m` is expected to be taken. Either `up` words go from x to s or `down` from
+# s to x, whichever makes one of them whole or nothing, with odds that keep both expectations; the sum of
+# words stays. The draw depends on the seed, the level and the two units alone.
+_UP, _DOWN = "least(s.f - s.m, x.m)", "least(s.m, x.f - x.m)"
+_MEETING = f"""
+    case when s.m = 0 then named_struct('pos', x.pos, 'm', x.m, 'f', x.f, 'won', s.won)
+         when {{draw}} * cast({_UP} + {_DOWN} as double) < {{one}}L * cast({_DOWN} as double) then case
+             when s.f - s.m > x.m then named_struct('pos', s.pos, 'm', s.m + x.m, 'f', s.f, 'won', s.won)
+             else named_struct('pos', x.pos, 'm', x.m - s.f + s.m, 'f', x.f, 'won', array_append(s.won, s.pos)) end
+         when x.f - x.m > s.m then named_struct('pos', x.pos, 'm', x.m + s.m, 'f', x.f, 'won', s.won)
+         else named_struct('pos', s.pos, 'm', s.m - x.f + x.m, 'f', s.f, 'won', array_append(s.won, x.pos))
     end"""
 
 
 def pivotal_winners(units: DataFrame, seed: int = 11, width: int = 128) -> DataFrame:
-    """From (group, pos, p), p in units of 1 / 2^30 and pos unique, the `pos` that are rounded up.
+    """From (group, pos, m, f), m of f words expected and pos unique, the `pos` that are rounded up.
 
-    Their number in a group is the sum of its probabilities, rounded up or down. A task holds at
-    most `width` units of a group at once."""
+    The words of a group's winners are the sum of its m, but for the last residual, which goes where it is nearer,
+    as nothing is left to meet it. A task holds at most `width` units of a group at once."""
     winners = None
-    current, level, index = units.where((F.col("p") > 0) & (F.col("p") < ONE)), 0, F.col("pos")
+    current, level, index = units.where((F.col("m") > 0) & (F.col("m") < F.col("f"))), 0, F.col("pos")
     while True:
         draw = f"pmod(xxhash64({seed}, {level}, s.pos, x.pos), {ONE}L)"
         reduced = cut_lineage(
             current.withColumn("chunk", F.floor(index / width)).groupBy("group", "chunk")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "p"))).alias("units"))     # <= width
+            .agg(F.sort_array(F.collect_list(F.struct("pos", "m", "f"))).alias("units"))     # <= width
             .withColumn("s", F.expr(
-                "aggregate(units, named_struct('pos', -1L, 'p', 0L, 'won', cast(array() as array<bigint>)), "
+                "aggregate(units, named_struct('pos', -1L, 'm', 0L, 'f', 0L, 'won', cast(array() as array<bigint>)), "
                 f"(s, x) -> {_MEETING.format(one=ONE, draw=draw)})"))
-            .select("group", "chunk", F.col("s.pos").alias("pos"), F.col("s.p").alias("p"),
-                    F.col("s.won").alias("won")))
+            .select("group", "chunk", F.col("s.pos").alias("pos"), F.col("s.m").alias("m"),
+                    F.col("s.f").alias("f"), F.col("s.won").alias("won")))
         level += 1
         won = reduced.select(F.explode("won").alias("pos"))
         winners = won if winners is None else winners.union(won)
         most = reduced.groupBy("group").count().agg(F.max("count")).first()[0] or 0
-        current, index = reduced.where(F.col("p") > 0).select("group", "chunk", "pos", "p"), F.col("chunk")
+        current, index = reduced.where(F.col("m") > 0).select("group", "chunk", "pos", "m", "f"), F.col("chunk")
         if most <= 1:
-            last = F.pmod(F.xxhash64(F.lit(seed), F.lit(-1), F.col("pos")), F.lit(ONE)) < F.col("p")
-            return winners.union(current.where(last).select("pos"))
+            return winners.union(current.where(F.col("m") >= F.col("f") - F.col("m")).select("pos"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 11,
@@ -108,9 +109,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     placed = placed.withColumn("_whole", F.floor(ratio)).withColumn(
         "_extra", F.round((ratio - F.floor(ratio)) * ONE).cast("long"))
-    numbered = cut_lineage(number_rows(placed, ["_rank", "size", "_key", "_mix"], "_pos"))
+    placed = placed.withColumn("_less", -F.col("size"))          # largest first
+    numbered = cut_lineage(number_rows(placed, ["_rank", "_less", "_key", "_mix"], "_pos").drop("_less"))
     units = numbered.where(F.col("size") > 0).select(
-        F.col("_rank").alias("group"), F.col("_pos").cast("long").alias("pos"), F.col("_extra").alias("p"))
+        F.col("_rank").alias("group"), F.col("_pos").cast("long").alias("pos"),
+        (F.col("_extra") * F.col("size")).alias("m"), (F.col("size") * ONE).alias("f"))
     winners = pivotal_winners(units, seed).withColumn("_won", F.lit(1))
     copies = F.col("_whole") + F.coalesce("_won", F.lit(0)) + (F.col("_extra") == ONE).cast("int")
     return (numbered.join(winners, numbered["_pos"] == winners["pos"], "left")
