@@ -14,7 +14,6 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from faultsift.llm import conversations as talk
-from faultsift.llm import queries as Q
 from faultsift.llm import warc
 from faultsift.llm.conversations import as_is, repair_conversations
 from faultsift.llm.decontamination import find_overlaps
@@ -201,7 +200,7 @@ def test_number_signs_are_no_letters():
     assert letters("\u00bd \u00b2 \u2167 \u2460 7_") .strip() == "" and letters("\u00c9a1b") == " \u00e9a b "
 
 
-# -- archives and mixes --------------------------------------------------------------------------------
+# -- archives --------------------------------------------------------------------------------
 
 def test_records_survive_a_change_of_cores(spark, tmp_path):
     """Files are planned with many cores and collected with few: no record is lost."""
@@ -220,28 +219,3 @@ def test_records_survive_a_change_of_cores(spark, tmp_path):
         spark.conf.unset(name)
         spark.conf.set("spark.sql.files.openCostInBytes", cost)
     assert len(rows) == len(pages) and all(r["digest_ok"] for r in rows)
-
-
-def test_sources_come_near_their_targets(spark):
-    """Targets by a plain calculation; taken words are within a tenth of them."""
-    rows = Q.op8_mix_sources(spark, "/root/testdata/sf0.01").collect()
-    sizes, taken, said = Counter(), Counter(), {}
-    for r in rows:
-        sizes[r["source"]] += r["size"]
-        taken[r["source"]] += r["taken"]
-        said[r["source"]] = r["target"]
-        assert r["taken"] <= 3 * r["size"] and r["source_size"] >= r["size"]
-    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    capped: set = set()
-    while True:
-        left = sum(sizes.values()) - sum(3 * sizes[s] for s in capped)
-        total = sum(weight[s] for s in names if s not in capped)
-        wanted = {s: 3 * sizes[s] if s in capped else left * weight[s] / total for s in names}
-        over = {s for s in names if s not in capped and wanted[s] > 3 * sizes[s]}
-        if not over:
-            break
-        capped |= over
-    for s in names:
-        assert said[s] == pytest.approx(wanted[s])
-        assert abs(taken[s] - wanted[s]) <= 0.1 * wanted[s], (s, taken[s], wanted[s])
