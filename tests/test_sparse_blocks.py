@@ -5,11 +5,12 @@ import random
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 from test_similarity import STOP, flood, frame, matrix, messages
 
 from faultsift import session
 from faultsift.operators import clusters, similarity, sparse_blocks
-from faultsift.operators.tfidf import distinct_messages, term_vectors
+from faultsift.operators.tfidf import distinct_messages, term_counts, term_vectors
 
 
 @pytest.mark.parametrize("block_postings, tile_rows", [(8_000_000, 4_000_000), (40, 3)])
@@ -47,3 +48,16 @@ def test_pairs_stay_in_their_task(spark, monkeypatch, tmp_path):
     assert [r["ClusterId"] for r in sorted(found, key=lambda r: r["ord"])] == flood(near)
     written = [ds.dataset(str(step), format="parquet").count_rows() for step in tmp_path.iterdir()]
     assert len(written) > 3 and max(written) <= 8 * n          # one row per word of a text
+
+
+def test_dense_copies_do_not_follow_the_rows(spark):
+    """Smaller blocks beyond a fixed grid would copy every row more often."""
+    rows = spark.range(400).select("id", F.array(F.rand(1), F.rand(2), F.rand(3)).alias("v"))
+    copies = similarity._block_pairs(rows, "id", "v", 2).count()
+    assert copies <= 400 * (similarity.GRID + 1)
+
+
+def test_words_are_not_shuffled(spark):
+    counts = term_counts(frame(spark, messages(20, 3)), "ord", "text", STOP)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "hashpartitioning(ord" in plan.replace("#", "")
