@@ -10,7 +10,7 @@ from test_similarity import STOP, flood, frame, matrix, messages
 
 from faultsift import session
 from faultsift.operators import clusters, similarity, sparse_blocks
-from faultsift.operators.tfidf import distinct_messages, term_counts, term_vectors
+from faultsift.operators.tfidf import count_vectors, distinct_messages, term_counts, term_vectors
 
 
 @pytest.mark.parametrize("block_postings, tile_rows", [(8_000_000, 4_000_000), (40, 3)])
@@ -61,3 +61,48 @@ def test_words_are_not_shuffled(spark):
     counts = term_counts(frame(spark, messages(20, 3)), "ord", "text", STOP)
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "hashpartitioning(ord" in plan.replace("#", "")
+
+
+@pytest.mark.parametrize("block_postings", [8_000_000, 40])
+def test_counts_make_the_same_vectors(spark, block_postings):
+    distinct = distinct_messages(frame(spark, messages(60, 4)), "ord", "text")
+    postings = term_vectors(distinct, "id", "Normalized", STOP)
+    counted, idf = count_vectors(distinct, "id", "Normalized", STOP)
+    expected = {r["id"]: dict(zip(r["terms"], r["weights"])) for r in similarity.as_vectors(postings).collect()}
+    made = {r["id"]: dict(zip(r["terms"], r["weights"])) for r in sparse_blocks.weighed(counted, idf).collect()}
+    assert made.keys() == expected.keys() and all(made[i] == pytest.approx(expected[i]) for i in made)
+    got = sparse_blocks.best_rows(counted, counted, 0.4, allow_self=False, block_postings=block_postings, idf=idf)
+    assert {(r["id"], r["neighbor"], round(r["score"], 9)) for r in similarity.nearest_within(postings, 0.4).collect()} \
+        == {(r["id"], r["partner"], round(r["score"], 9)) for r in got.collect()}
+
+
+def test_terms_are_written_once(spark, monkeypatch, tmp_path):
+    rng, n = random.Random(6), 200
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    texts = [" ".join(rng.sample(words, 8)) for _ in range(n)]
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    clusters.dbscan_messages(frame(spark, texts), "ord", "text", 0.3, STOP).collect()
+    written = [ds.dataset(str(step), format="parquet").count_rows() for step in tmp_path.iterdir()]
+    assert sum(rows > 4 * n for rows in written) == 1
+
+
+def test_large_groups_are_linked_part_by_part(spark, monkeypatch):
+    """A round for each merge of a group that is too large for a task would take many."""
+    base = [f"p{chr(97 + i)}" for i in range(20)]
+    texts = [" ".join([*(f"f{'abc'[k]}{w}" for w in base), *base, f"u{'abc'[k]}{'abcde'[j]}"])
+             for k in range(3) for j in range(5)]
+    rounds = []
+    search = clusters.best_partner
+    monkeypatch.setattr(clusters, "best_partner", lambda *a, **b: rounds.append(1) or search(*a, **b))
+    found = [clusters.average_linkage_messages(frame(spark, texts), "ord", "text", cut, STOP, rows)
+             for cut, rows in ((0.9, 6), (0.9, 4096))]
+    assert len(rounds) == 1
+    assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect()))
+
+
+def test_dense_density_goes_tile_by_tile(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "block_copies", None)       # copies there grow with the rows
+    rows = spark.createDataFrame([(i, [1.0, 0.1 * (i % 3)] if i < 6 else [0.0, float(i - 5)] if i < 8 else [0.0, 0.0])
+                                  for i in range(9)], "k long, v array<double>")
+    got = {r["k"]: r["ClusterId"] for r in clusters.dbscan_vectors(rows, "k", "v", 0.05, 3).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: -1, 7: -1, 8: -1}
