@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut_lineage
-from .common import Membership, WordHashes, as_text, blocks, encoded, mixed
+from .common import Membership, WordHashes, as_text, blocks, encoded, mixed, rows_at_once
 
 WIDTH = 5
 #: Similarity 100 * overlap >= 75 * union.
@@ -34,6 +34,8 @@ SMALL = 64
 #: Shingles are counted in so many buckets, in so many rows: a fixed size, whatever the corpus.
 COUNT_BITS = 20
 CHUNKS = 16
+#: Texts that a task gets at once.
+TEXTS = 1000
 
 
 def shingle_sets(texts: list[str | None], hashes: WordHashes) -> list[np.ndarray]:
@@ -331,6 +333,11 @@ def jaccard_components(docs: DataFrame, heavy: int = 16, key: str = "doc_id",
     links nothing. Other columns are not read; an empty table gives an empty table. In up to
     `turns` turns, sets of lists with more than `heavy` rows outside the largest component are compared
     with so many `leaders`; these numbers change the work only, as all lists are scanned in the end."""
+    with rows_at_once(docs.sparkSession, TEXTS):
+        return _components(docs, heavy, key, text, leaders, turns)
+
+
+def _components(docs: DataFrame, heavy: int, key: str, text: str, leaders: int, turns: int) -> DataFrame:
     surveyed = cut_lineage(survey(docs, key, text))
     levels = rarity_levels(surveyed.where(F.col("chunk") >= 0).select("chunk", "part", "counts"))
     rows = surveyed.where(F.col("chunk") < 0).select("id", "n", "print")
