@@ -106,3 +106,14 @@ def test_dense_density_goes_tile_by_tile(spark, monkeypatch):
                                   for i in range(9)], "k long, v array<double>")
     got = {r["k"]: r["ClusterId"] for r in clusters.dbscan_vectors(rows, "k", "v", 0.05, 3).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: -1, 7: -1, 8: -1}
+
+
+def test_blocks_meet_without_copies(spark):
+    """A row was shuffled once per block it met, which grows with the square of the table."""
+    distinct = distinct_messages(frame(spark, messages(60, 4)), "ord", "text")
+    counted, idf = count_vectors(distinct, "id", "Normalized", STOP)
+    blocks = sparse_blocks.packed(counted, True, 40)
+    assert blocks.count() > 6 and blocks.agg(F.sum(F.length("ids"))).first()[0] == 8 * counted.count()
+    found = sparse_blocks.linked_rows(counted, 0.4, block_postings=40, idf=idf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
