@@ -25,6 +25,8 @@ from .common import blocks, stratified_sample
 _NOT_LETTERS = regex.compile(r"\P{L}+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
+#: Characters that are looked up at once; arrays take about 100 bytes for each.
+CHARS = 250_000
 
 
 def letters(text: str | None) -> str:
@@ -153,7 +155,7 @@ def language_of(text: Column, model: LanguageFilter) -> Column:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = list(batch)
-            yield pd.concat([judge(texts[part]) for part in blocks(texts)] or [judge([])])
+            yield pd.concat([judge(texts[part]) for part in blocks(texts, CHARS)] or [judge([])])
 
     return predict(text)
 

@@ -1,8 +1,10 @@
 """Tasks of the text operators get few long rows at once."""
 
+import numpy as np
 import pytest
 
 from faultsift.llm import jaccard, phrases
+from faultsift.llm.language import LanguageFilter, predict_language
 
 SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -17,3 +19,37 @@ def test_batches_are_bounded(spark, monkeypatch, module, run):
     assert seen[0] == str(module.TEXTS) and spark.conf.get(SETTING) == before
     if module is phrases:
         assert seen.count(str(module.BLOCKS)) > 4
+
+
+def test_language_is_looked_up_in_small_parts(spark):
+    """Arrays of 2,000,000 characters took some 200 MB of every task."""
+    class Watched(LanguageFilter):
+        def shares(self, prepared, wrong):
+            assert sum(map(len, prepared)) < 300_000
+            return super().shares(prepared, wrong)
+
+    table = np.full((64, 1), 1, np.uint8)
+    docs = spark.createDataFrame([(i, "abc def " * 500) for i in range(200)], "doc_id long, text string").coalesce(1)
+    found = predict_language(docs, Watched(["en"], table, 3, 3))
+    assert found.where("lang_pred = 'en'").count() == 200
+
+
+def test_counts_of_candidates_are_parts_of_arrays(spark, monkeypatch):
+    """A task reported a row for every candidate it has."""
+    plans, write = [], phrases.cut_lineage
+    monkeypatch.setattr(phrases, "PART", 3)
+    monkeypatch.setattr(phrases, "cut_lineage", lambda df: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    texts = [f"a{i} b{i} c{i} a{j} b{j}" for i in range(5) for j in range(5)] + ["a0 b0 c0. a1 b1"] * 3
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)],
+                                 "doc_id long, lang string, text string").repartition(6)
+    expected = {}
+    for piece in ".".join(texts).split("."):
+        words = piece.split()
+        for k in range(1, 4):
+            for i in range(len(words) - k + 1):
+                phrase = " ".join(words[i:i + k])
+                expected[phrase] = expected.get(phrase, 0) + 1
+    counts, _ = phrases.phrase_counts(docs, support=4, longest=3)
+    assert {r["phrase"]: r["f"] for r in counts.collect()} == {p: n for p, n in expected.items() if n >= 4}
+    assert sum("_unpacked" in p and "FlatMapGroupsInArrow" in p for p in plans) == 2
