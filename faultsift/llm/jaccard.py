@@ -8,8 +8,9 @@ boundary is where the counted rows of both ways cost least.
 
 Equal sets are one node. Shingles are ordered from the rarest on, by counts over all documents in a
 table of fixed size: any order that depends on the shingle alone gives whole results, and this one keeps
-passages that unrelated texts share out of most prefixes. Families of near copies are joined first,
-through a few leaders of each long list; then lists are scanned for what is in different components.
+passages that unrelated texts share out of most prefixes. Short lists, which most are, become pairs where
+they are found. Of long ones, families of near copies are joined first, through a few leaders of each list;
+then lists are scanned for what is in different components.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut_lineage
-from .common import Membership, WordHashes, as_text, blocks, encoded, mixed, rows_at_once
+from .common import Membership, as_text, blocks, encoded, mixed, rows_at_once
 
 WIDTH = 5
 #: Similarity 100 * overlap >= 75 * union.
@@ -34,14 +36,40 @@ SMALL = 64
 #: Shingles are counted in so many buckets, in so many rows: a fixed size, whatever the corpus.
 COUNT_BITS = 20
 CHUNKS = 16
+#: Lists of up to so many sets become pairs at once.
+SHORT = 4
 #: Texts that a task gets at once.
 TEXTS = 1000
-
-
-def shingle_sets(texts: list[str | None], hashes: WordHashes) -> list[np.ndarray]:
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+#: The first bytes of eight, by their number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG = 256
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and how many each has: eight bytes of every word at a time."""
+    whole = b" ".join(texts) + b" " * 9
+    inside = ~_BLANK[np.frombuffer(whole, np.uint8)]
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(whole) - 7, "<u8", whole, strides=(1,))    # from every place on
+    out = mixed(lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(whole[starts[i]:starts[i] + lengths[i]])
+    some, at = np.flatnonzero(lengths <= _LONG), 0
+    while len(some):
+        left = lengths[some] - at
+        out[some] = mixed(out[some] ^ (eight[starts[some] + at] & _FIRST[np.minimum(left, 8)]))
+        some, at = some[left > 8], at + 8
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return out, np.diff(np.searchsorted(starts, begins))
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """The sorted hashes of the distinct shingles of each text of a block."""
-    split = [encoded(t).lower().split() for t in texts]           # of bytes, so A-Z only
-    hashed = hashes.of([w for words in split for w in words])
+    lower = [encoded(t).lower() for t in texts]                   # of bytes, so A-Z only
+    hashed, sizes = word_hashes(lower)
     n = max(len(hashed) - WIDTH + 1, 0)
     windows = np.full(n, np.uint64(WIDTH))
     with np.errstate(over="ignore"):
@@ -50,12 +78,11 @@ def shingle_sets(texts: list[str | None], hashes: WordHashes) -> list[np.ndarray
             windows ^= windows >> np.uint64(32)
     windows = mixed(windows)
     out, start = [], 0
-    for words in split:
-        size = len(words)
+    for text, size in zip(lower, sizes.tolist(), strict=True):
         if size >= WIDTH:
             out.append(np.unique(windows[start:start + size - WIDTH + 1]))
         elif size:
-            whole = hashlib.blake2b(b" ".join(words), digest_size=8, person=b"short").digest()
+            whole = hashlib.blake2b(b" ".join(text.split()), digest_size=8, person=b"short").digest()
             out.append(np.frombuffer(whole, np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -77,10 +104,10 @@ def survey(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Each task counts its shingles in an array of fixed size, which comes out as rows of the same table."""
     def make(batches):
-        hashes, counts = WordHashes(100_000), np.zeros(1 << COUNT_BITS, np.uint32)
+        counts = np.zeros(1 << COUNT_BITS, np.uint32)
         for batch in batches:
             for part in blocks(list(batch["_text"]), 1_000_000):
-                sets = shingle_sets(list(batch["_text"].iloc[part]), hashes)
+                sets = shingle_sets(list(batch["_text"].iloc[part]))
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
                 yield pd.DataFrame({
                     "id": batch["_key"].iloc[part].array, "n": [len(s) for s in sets],
@@ -133,10 +160,9 @@ def _heads(docs: DataFrame, key: str, text: str, levels: np.ndarray) -> DataFram
         return int(levels[_bucket(grams)][0]) << 23 | int(grams[0] >> np.uint64(41)) if len(grams) else 0
 
     def make(batches):
-        hashes = WordHashes(100_000)
         for batch in batches:
             for part in blocks(list(batch["_text"]), 1_000_000):
-                sets = shingle_sets(list(batch["_text"].iloc[part]), hashes)
+                sets = shingle_sets(list(batch["_text"].iloc[part]))
                 heads = [s[np.argsort(levels[_bucket(s)], kind="stable")[:prefix(len(s)) + 1]] for s in sets]
                 yield pd.DataFrame({
                     "id": batch["_key"].iloc[part].array, "n": [len(s) for s in sets],
@@ -211,14 +237,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFra
     wanted = Membership.over(ids, "id")
 
     def make(batches):
-        hashes = WordHashes()
         for batch in batches:
             known = batch["_key"].notna()
             some = known.to_numpy()
             some[some] = wanted.has(batch["_key"][known].astype(np.int64).to_numpy().view(np.uint64))
             batch = batch[some]
-            for part in blocks(list(batch["_text"])):
-                sets = shingle_sets(list(batch["_text"].iloc[part]), hashes)
+            for part in blocks(list(batch["_text"]), 1_000_000):
+                sets = shingle_sets(list(batch["_text"].iloc[part]))
                 yield pd.DataFrame({"id": batch["_key"].iloc[part].array,
                                     "grams": [s.view(np.int64) for s in sets]})
 
@@ -262,14 +287,45 @@ def _counted(met: DataFrame) -> DataFrame:
     return counted.where(_possible(common)).select("a", "b").distinct()
 
 
-def _pairs_across(rows: DataFrame, boundary: int) -> DataFrame:
+def _held(postings: DataFrame) -> DataFrame:
+    """Lists of more than one set. Long ones are rows (gram, small, id, pos, n, ends) without y; of short ones each
+    row (small, id, pos, n, y, y_pos, y_n) is a pair, and `own` tells how many of id and y are here for the first
+    time of their list."""
+    order = Window.partitionBy("gram", "small").orderBy("n", "id")
+    rows = postings.withColumns({"before": F.lag("id").over(order), "after": F.lead("id").over(order)}).where(
+        F.col("before").isNotNull() | F.col("after").isNotNull()).drop("before", "after")
+    other = F.struct(F.col("id").alias("y"), F.col("pos").alias("y_pos"), F.col("n").alias("y_n"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({
+        "size": F.count(F.lit(1)).over(whole), "place": F.row_number().over(order),
+        **{f"lag{j}": F.lag(other, j).over(order) for j in range(1, SHORT)}})
+    long = F.col("size") > SHORT
+    lags = F.array(*(f"lag{j}" for j in range(1, SHORT)))
+    met = F.when(long, F.array(F.lit(None).cast(rows.schema["lag1"].dataType))).otherwise(
+        F.filter(lags, lambda other: other.isNotNull()))
+    return rows.select(
+        F.when(long, F.col("gram")).alias("gram"), "small", "id", "pos", "n", F.when(long, F.col("ends")).alias("ends"),
+        "place", F.posexplode(met).alias("lag", "other")).select(
+        "gram", "small", "id", "pos", "n", "ends", "other.*",
+        F.when(F.col("lag") > 0, 0).when(F.col("place") == 2, 2).otherwise(1).alias("own"))
+
+
+def _alike(boundary: int) -> Column:
+    """Whether the sizes of x and y allow the similarity, and are of this kind of list."""
+    larger = F.greatest("x_n", "y_n")
+    return (F.least("x_n", "y_n") * 100 >= larger * PERCENT) & (F.col("small") | (larger > boundary))
+
+
+def _pairs_across(rows: DataFrame, short: DataFrame, families: DataFrame, boundary: int) -> DataFrame:
     """Distinct (a, b) in different components that share enough of their prefixes.
 
-    Rows are those of `_open_lists`. Sets meet in classes of size, of which two similar ones are the same
+    Rows are those of `_open_lists`, `short` the pairs of short lists. Sets meet in classes of size, of which two similar ones are the same
     or neighbours. Rows of a list's main (largest) component do not meet one another. Whatever two sets
-    of different components share of the prefix that ends first is in open lists, so `reach`, that part
+    of different components share of the prefix that ends first is in open or short lists, so `reach`, that part
     and what follows the prefix, bounds their overlap before a row is made."""
-    shared = rows.where(~F.col("small")).groupBy("id").agg(F.count(F.lit(1)).alias("_open"))
+    single = short.where(~F.col("small"))
+    shared = rows.where(~F.col("small")).select("id").unionAll(single.where("own > 0").select("id")).unionAll(
+        single.where("own = 2").select("y")).groupBy("id").agg(F.count(F.lit(1)).alias("_open"))
     after = F.ceil(F.col("n") * PERCENT / 100) - 1          # shingles behind the prefix
     rows = rows.join(shared, "id", "left").withColumn("reach", F.col("_open") + after).drop("_open")
     size_class = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
@@ -279,14 +335,19 @@ def _pairs_across(rows: DataFrame, boundary: int) -> DataFrame:
         "gram", "small", *side("x"), F.explode(F.array(size_class - 1, size_class, size_class + 1)).alias("class"))
     right = rows.select("gram", "small", *side("y"), "main", size_class.alias("class"))
     meet = left.join(right, ["gram", "small", "class"])
-    sized = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT
-    handled = F.col("small") | (F.greatest("x_n", "y_n") > boundary)
     once = F.col("main") | (F.col("x") < F.col("y"))
     reach = (F.when(F.col("x_ends") < F.col("y_ends"), F.col("x_reach"))
              .when(F.col("x_ends") > F.col("y_ends"), F.col("y_reach")).otherwise(F.greatest("x_reach", "y_reach")))
     enough = F.col("small") | (reach * (100 + PERCENT) >= PERCENT * (F.col("x_n") + F.col("y_n")))
-    return _counted(meet.where(
-        sized & handled & once & enough & (F.col("x_component") != F.col("y_component"))))
+    columns = ["small", "x", "x_n", "x_pos", "y", "y_n", "y_pos"]
+    long = meet.where(_alike(boundary) & once & enough & (F.col("x_component") != F.col("y_component")))
+    near = short.select("small", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"),
+                        "y", "y_n", "y_pos").where(_alike(boundary) & (F.col("x") != F.col("y")))
+    found = _counted(long.select(columns).unionAll(near.select(columns)))
+    for side in ("a", "b"):                                   # short lists do not know the families
+        found = found.join(families.select(F.col("node").alias(side), F.col("component").alias(f"{side}_family")),
+                           side, "left")
+    return found.where(~F.col("a_family").eqNullSafe(F.col("b_family")) | F.col("a_family").isNull()).select("a", "b")
 
 
 def _with_leaders(crowded: DataFrame, turn: int, leaders: int) -> DataFrame:
@@ -351,24 +412,24 @@ def _components(docs: DataFrame, heavy: int, key: str, text: str, leaders: int,
         others, ["id", "print"], "left_anti")
 
     # lists with more than one set
-    order = Window.partitionBy("gram", "small").orderBy("n", "id")
-    listed = _postings(nodes, boundary).withColumns({
-        "before": F.lag("id").over(order), "after": F.lead("id").over(order)})
-    lists = cut_lineage(listed.where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("before", "after"))
+    held = cut_lineage(_held(_postings(nodes, boundary)))
+    short = held.where(F.col("y").isNotNull())
+    lists = held.where(F.col("y").isNull()).select("gram", "small", "id", "pos", "n", "ends")
 
     # families of near copies are joined through leaders of long lists; then only what lists still hold
-    # besides their largest component is compared with all of the list
+    # besides their largest component is compared with all of the list. A list that is not open stays so.
     links = lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     families = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    left = _open_lists(lists, families)
     for turn in range(turns):
-        left = _open_lists(lists, families)
         near = cut_lineage(_with_leaders(left.where(F.col("rest") > heavy), turn, leaders))
         found = None if near.isEmpty() else cut_lineage(_verified(docs, near, key, text))
         if found is None or found.isEmpty():
             break
         links = links.union(found)
         families = cut_lineage(connected_components(links, "a", "b"))
-    pairs = cut_lineage(_pairs_across(_open_lists(lists, families), boundary))
+        left = _open_lists(left.select(lists.columns), families)
+    pairs = cut_lineage(_pairs_across(left, short, families, boundary))
     more = _verified(docs, pairs, key, text)
     found = cut_lineage(connected_components(links.union(more), "a", "b"))
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from faultsift.llm import jaccard, phrases
+from faultsift.llm import decontamination, jaccard, phrases
 from faultsift.llm.language import LanguageFilter, predict_language
 
 SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -53,3 +53,43 @@ def test_counts_of_candidates_are_parts_of_arrays(spark, monkeypatch):
     counts, _ = phrases.phrase_counts(docs, support=4, longest=3)
     assert {r["phrase"]: r["f"] for r in counts.collect()} == {p: n for p, n in expected.items() if n >= 4}
     assert sum("_unpacked" in p and "FlatMapGroupsInArrow" in p for p in plans) == 2
+
+
+def test_short_lists_become_pairs(spark, monkeypatch):
+    """Every list of two or three sets went through the joins for long ones, several times."""
+    rows, opened = [], jaccard._open_lists
+    monkeypatch.setattr(jaccard, "_open_lists", lambda lists, families: rows.append(lists.count()) or opened(lists, families))
+    text = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    texts = [t for i in range(20) for n in (24, 26, 70, 75) for t in [text(f"{i}n{n > 50}", n)]] + [text("a", 40)] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert found == {i: i - i % 2 for i in range(80)} | {80: 80, 81: 80, 82: 80}
+    assert rows and not sum(rows)
+    rows.clear()                                              # a long one, and one set more that meets it twice
+    texts = [text("b", 60) + f" z{i}" for i in range(6)] + [text("b", 48), text("c", 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert found == dict.fromkeys(range(7), 0) | {7: 7} and sum(rows)
+
+
+def test_words_are_hashed_eight_bytes_at_a_time():
+    texts = [b"", b" ", b"a ab abc", b"\x0bab\tabc\r", b"x" * 7 + b" " + b"x" * 8 + b" " + b"x" * 9 + b"\xc2\x85x",
+             b"y" * 256 + b" " + b"y" * 257, b"y" * 257 + b"\n" + b"a" + b"\0", b"a"]
+    hashed, sizes = jaccard.word_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts] and len(hashed) == len(words)
+    by_word = dict(zip(words, hashed.tolist(), strict=True))
+    assert [by_word[w] for w in words] == hashed.tolist() and len(set(by_word.values())) == len(by_word)
+
+
+def test_overlaps_are_searched_in_small_parts(spark, monkeypatch):
+    """Tasks got 10,000 rows at once, in every step, and searched 2,000,000 characters at once."""
+    seen, write = [], decontamination.cut_lineage
+    monkeypatch.setattr(decontamination, "cut_lineage", lambda df: seen.append(spark.conf.get(SETTING)) or write(df))
+    docs = spark.createDataFrame([(i, f"a{i} " + "b c d e f g h i j k l") for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "b c d e f g h i j k l")], "item_id long, text string")
+    before = spark.conf.get(SETTING)
+    found = decontamination.find_overlaps(docs, items)
+    assert len(seen) == 3 and set(seen) == {str(decontamination.ROWS)} and spark.conf.get(SETTING) == before
+    assert {tuple(r) for r in found.collect()} == {(i, 1, 1, 0, 11, 11) for i in range(20)}
+    assert decontamination.CHARACTERS <= 250_000
