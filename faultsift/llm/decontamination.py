@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import Membership, WordHashes, as_text, blocks, mixed
+from .common import Membership, WordHashes, as_text, blocks, mixed, rows_at_once
 
 MASKS = ("1101001101", "1011000111", "1110010011")
 #: Items below the span of the masks are looked up whole; below this length they are not searched.
 SHORTEST = 5
+#: Rows that a task gets at once, and characters that it searches at once.
+ROWS, CHARACTERS = 500, 250_000
 _PUNCTUATION = bytes(c for c in range(128) if not chr(c).isalnum())
 _TO_SPACE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
@@ -84,14 +86,20 @@ def find_overlaps(docs: DataFrame, items: DataFrame, least: int = 10, reach: int
     of fewer than 5 tokens or with a null id. Rows that repeat a key give one result. An empty
     table on either side gives no rows. Every task holds a filter of fixed size (2^log_bits bits)
     over the benchmark's seeds; what passes it is joined with the seeds themselves."""
+    with rows_at_once(docs.sparkSession, ROWS):
+        return _overlaps(docs, items, least, reach, log_bits, key, text, item_key, item_text)
+
+
+def _overlaps(docs: DataFrame, items: DataFrame, least: int, reach: int, log_bits: int, key: str, text: str,
+              item_key: str, item_text: str) -> DataFrame:
     item_rows = cut_lineage(item_seeds(items, item_key, item_text))
     filter_ = Membership.over(item_rows, "seed", log_bits)
     span = len(MASKS[0])
 
     def search(batches):
-        hashes = WordHashes()
+        hashes = WordHashes(50_000)
         for batch in batches:
-            for part in blocks(list(batch["_text"])):
+            for part in blocks(list(batch["_text"]), CHARACTERS):
                 split = [tokens(t) for t in batch["_text"].iloc[part]]
                 sizes = np.array([len(w) for w in split], np.int64)
                 hashed = hashes.of([w for words in split for w in words])
@@ -156,8 +164,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, least: int = 10, reach: int
     placed = laid.join(parts.select("part", F.col("_key").alias("owner"), "low", "tokens"), "part").join(
         hashed_items, "item")
     numbers = ["item_id", "doc_start", "item_start", "n_tokens", "n_matches"]
-    verified = placed.mapInPandas(
-        verify, "_key string, " + ", ".join(f"{c} long" for c in numbers))
+    verified = cut_lineage(placed.mapInPandas(
+        verify, "_key string, " + ", ".join(f"{c} long" for c in numbers)))
     best = F.max(F.struct("n_matches", -F.col("n_tokens"), -F.col("doc_start"), -F.col("item_start"))).alias("b")
     return verified.groupBy("_key", "item_id").agg(best).select(
         F.col("_key").cast(kind).alias(key), "item_id", (-F.col("b.col3")).alias("doc_start"),
