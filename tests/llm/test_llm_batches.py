@@ -93,3 +93,34 @@ def test_overlaps_are_searched_in_small_parts(spark, monkeypatch):
     assert len(seen) == 3 and set(seen) == {str(decontamination.ROWS)} and spark.conf.get(SETTING) == before
     assert {tuple(r) for r in found.collect()} == {(i, 1, 1, 0, 11, 11) for i in range(20)}
     assert decontamination.CHARACTERS <= 250_000
+
+
+@pytest.mark.parametrize("few", [1, 2, 100])
+def test_counts_of_hashes_are_arrays_by_range(spark, few):
+    """Every hash of a task was a row."""
+    class All:
+        value = type("Known", (), {"has": staticmethod(lambda hashed: np.ones(len(hashed), bool))})
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[i:] + words[:i]) + ". " + "a b " * (300 if i == 3 else 1) for i in range(12)]
+    docs = spark.createDataFrame([("en" if i % 2 else None, t) for i, t in enumerate(texts)],
+                                 "lang string, text string").repartition(3)
+    blocks = phrases.cut_lineage(phrases.encoded_blocks(docs, "lang", "text", 300))
+    assert blocks.count() > 5
+    expected, where = {}, {}
+    for block in phrases.read_blocks(blocks.toArrow().to_batches()):
+        for h in phrases._Positions(block, phrases.WordHashes())(2)[1].view(np.int64).tolist():
+            expected[h] = expected.get(h, 0) + 1
+            where.setdefault(h, set()).add(block.number)
+    for support, flush in ((1, 4_000_000), (7, 60)):
+        counts = phrases.hash_counts(blocks, 2, All, support, flush, few)
+        found = {r["h"]: r for r in counts.collect()}
+        assert {h: r["f"] for h, r in found.items()} == {h: n for h, n in expected.items() if n >= support}
+        assert all(r["block"] in where[h] for h, r in found.items())
+    assert "steps" in counts._jdf.queryExecution().toString()
+
+
+def test_numbers_are_packed():
+    for values in ([0], [1, 255], [256, 0, 3], [2**64 - 1, 0, 2**40], [2**56]):
+        numbers = np.array(values, np.uint64)
+        assert phrases._loosened(phrases._packed(numbers), len(values)).tolist() == values
