@@ -1,6 +1,7 @@
 """Tasks of the text operators get few long rows at once."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from faultsift.llm import decontamination, jaccard, phrases
@@ -124,3 +125,13 @@ def test_numbers_are_packed():
     for values in ([0], [1, 255], [256, 0, 3], [2**64 - 1, 0, 2**40], [2**56]):
         numbers = np.array(values, np.uint64)
         assert phrases._loosened(phrases._packed(numbers), len(values)).tolist() == values
+
+
+def test_codes_of_blocks_take_the_bytes_they_need():
+    """Four bytes each, for numbers below 65,536."""
+    codes = np.arange(40_000) % 30_000
+    names = pa.array([b"."] + [str(i).encode() for i in range(1, 30_000)], pa.binary())
+    batch = phrases.Block(7, ["en"], names, codes, np.zeros(1, int), np.array([len(codes)])).batch()
+    assert len(batch.column(3)[0].as_py()) == 2 * len(codes)
+    [back] = phrases.read_blocks([batch])
+    assert back.codes.tolist() == codes.tolist() and back.lengths.tolist() == [len(codes)] and back.number == 7
