@@ -58,7 +58,7 @@ def test_most_pairs_need_no_matrix_of_parts():
 
 
 def test_a_task_gets_one_pair_of_blocks_at_a_time(spark):
-    """A batch held up to 10,000 pairs, which are some 60 MB each."""
+    """A batch took rows until it passed some 64 MB, so two pairs of 60 MB each."""
     def sizes(batches):
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
